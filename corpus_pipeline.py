@@ -1,18 +1,71 @@
-"""Corpus pipeline over documents."""
+"""Corpus pipeline over documents: five stages, each a decision of one operator of tallybook.llm.
+
+Every stage takes what its predecessor kept and returns the columns of documents (the last: tokens in place of texts).
+Rows with a null text are empty texts. Rows with a null doc_id are judged by their text and kept by the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallybook.llm import bpe, contain, secrets, simhash, toxicity
+from tallybook.llm.common import materialize
+from tallybook.llm.queries import table, vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic (0.5 or more) go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays, once if its row is repeated."""
+    kept = simhash.near_duplicates(docs).where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
+    found = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+    once = Window.partitionBy("doc_id").orderBy("doc_id", F.xxhash64("text"))
+    found = found.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*docs.columns)
+    return found.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item (0.8 or more of its five-word shingles) go."""
+    return contain.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets and linked credentials are replaced by a mark; the documents stay, n_chars is the new length."""
+    text = secrets.redacted(F.coalesce("text", F.lit("")), F.col("_spans"))
+    found = secrets.with_spans(docs, out="_spans").withColumn("text", F.when(F.col("text").isNotNull(), text))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of every document, with the digests of its tokens and of what they decode to."""
+    return bpe.encoded(docs, vocabulary())
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("secrets", redact_secrets),
+    ("bpe", encode),
+]
 
+#: The classifier and the tokenizer are beyond SQL; a test compares run() with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

@@ -16,8 +16,10 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from tallybook.llm.common import plain_words, small_batches
 
@@ -109,6 +111,15 @@ class Sketches:
         return out
 
 
+def _passes(items: DataFrame, item_id: str, pass_bytes: int) -> Iterator[Broadcast]:
+    """Items as broadcast rows, in passes of about pass_bytes of text."""
+    wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col("text").alias("text"))
+    passes = max(1, ceil((wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / pass_bytes))
+    for k in range(passes):
+        part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else wanted
+        yield items.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -122,17 +133,12 @@ def contained_items(
 
     Words are runs of ASCII letters and digits and of other characters, A-Z lower-cased. Items of fewer than width words
     are one shingle. Null and empty items or documents match nothing; repeated rows give repeated pairs; null ids stay null.
-    Items beyond pass_bytes of text are dealt out to several passes, each within that bound.
+    Items beyond pass_bytes of text are dealt out to several passes, each about within that bound.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text").alias("text"))
-    wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col("text").alias("text"))
-    passes = max(1, ceil((wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / pass_bytes))
-    schema = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
     out = None
-    for k in range(passes):
-        part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else wanted
-        held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    for held in _passes(items, item_id, pass_bytes):
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             sketches = Sketches(held.value, width, least)
@@ -141,15 +147,25 @@ def contained_items(
                 frame = pd.DataFrame(found, columns=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "n_shingles": "int64", "n_found": "int64", "containment": "float64"})
 
-        one = rows.mapInPandas(run, schema)
+        one = rows.mapInPandas(run, "doc_id long, item_id long, n_shingles long, n_found long, containment double")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that contain no item; rows with null doc_id are judged by no id and stay."""
-    hit = contained_items(docs, items, **options).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+def clean(docs: DataFrame, items: DataFrame, width: int = 5, least: float = 0.8, item_id: str = "item_id", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of docs whose text contains no item, by the same search; each row is judged by its own text, so nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    out = docs
+    for held in _passes(items, item_id, pass_bytes):
+
+        def run(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
+            sketches = Sketches(held.value, width, least)
+            for texts in batches:
+                yield pd.Series([bool(sketches.matches(t)) for t in texts], dtype=bool)
+
+        hit = F.pandas_udf(run, "boolean", PandasUDFType.SCALAR_ITER)
+        out = out.where(~hit(F.col("text")))
+    return out
 
 
 #: Both sides of the check: shingles by list slices, containment by a join on them.

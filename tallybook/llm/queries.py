@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, contain, licenses, secrets, sharding, simhash, toxicity
+from tallybook.llm import bpe, brown, contain, itq, licenses, secrets, sharding, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -54,6 +63,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -68,7 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_secrets": op3_secrets,
     "op4_sharding": op4_sharding,
+    "op5_embeddings": op5_embeddings,
+    "op6_urls": op6_urls,
     "op7_toxicity": op7_toxicity,
+    "op8_brown": op8_brown,
     "op9_simhash": op9_simhash,
     "op10_containment": op10_containment,
 }
@@ -77,5 +93,6 @@ ORACLES: dict[str, str] = {
     "op1_licenses": licenses.ORACLE,
     "op3_secrets": secrets.ORACLE,
     "op4_sharding": sharding.oracle(),
+    "op6_urls": urls.ORACLE,
     "op10_containment": contain.ORACLE,
 }
