@@ -5,7 +5,7 @@ chunks wherever they stand. Chunks shared across documents are counted over the
 once, and their identifiers are sent to every task. Other chunks are encoded once per task while its bounded cache holds them.
 
 Chunks are cut anywhere, so tokens at their joins may be wrong. A join is repaired by encoding the text around it again, from
-a place left of it to a place right of it where the tokenizer splits in any context (a space after a letter), and the result
+a place left of it to a place right of it where the tokenizer splits in any context (a space after a visible ASCII character), and the result
 is taken when it agrees with the chunks' own tokens at both ends; else the window grows, at last to the whole text.
 """
 
@@ -14,9 +14,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -33,7 +36,10 @@ MIN_CHUNK, MASK_BITS, MAX_CHUNK = 96, 9, 4096
 #: Chunks a task remembers.
 CACHED = 16384
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, np.uint32)
-_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: Characters on which pattern libraries may differ, or that are not Latin.
+_ODD = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]")
+#: Words a task remembers the tokens of.
+PIECES = 200_000
 
 
 def cuts(data: bytes) -> list[int]:
@@ -65,6 +71,27 @@ def _whole(data: bytes, at: int) -> int:
     return at
 
 
+@lru_cache(1)
+def latin_pattern() -> re.Pattern:
+    """The tokenizer's split of a text, for characters below U+0250."""
+    kind = lambda k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k)
+    letters, digits = kind("L"), kind("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+")
+
+
+class Pieces(dict):
+    """Tokens of the words a text is split into."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= PIECES:
+            self.clear()
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -90,34 +117,33 @@ class Codec:
         self.bytes = [added[i].encode() if i in added else bytes(byte_of[c] for c in w) for i, w in enumerate(words)]
         self.sizes = list(map(len, self.bytes))
         self.decimal = [str(i) for i in range(size)]
-        self.quick = None
+        self.pieces = None
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
-            import public_tokenizers
             import tiktoken
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
-            self.quick = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            core = tiktoken.Encoding(path, pat_str="[^\\s\\S]", mergeable_ranks=table, special_tokens={})
+            self.pieces = Pieces(core._encode_single_piece)
 
     def encode(self, text: str) -> list[int]:
-        """The library's own result. Texts of Latin characters without special tokens go by a faster coder with the same ranks,
-        where both agree on what letters, digits and spaces are."""
-        if self.quick and (text.isascii() or max(text) < "ɐ") and not any("\x1c" <= c <= "\x1f" or c == "\x85" for c in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85") if c in text) and not any(s in text for s in self.special):
-            return self.quick(text)
-        return self.exact.encode(text, add_special_tokens=False).ids
+        """The library's own result. Latin texts without special tokens are split here and their words looked up."""
+        if self.pieces is None or _ODD.search(text) or any(s in text for s in self.special):
+            return self.exact.encode(text, add_special_tokens=False).ids
+        return list(chain.from_iterable(map(self.pieces.__getitem__, latin_pattern().findall(text))))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def _safe(data: bytes, at: int) -> bool:
-    return 0 < at < len(data) and data[at] == 32 and data[at - 1] in _LETTERS
+    return 0 < at < len(data) and data[at] == 32 and 32 < data[at - 1] < 127
 
 
 def _before(data: bytes, at: int) -> int:
     """The last safe place before at, or 0."""
     while (at := data.rfind(b" ", 0, at)) > 0:
-        if data[at - 1] in _LETTERS:
+        if 32 < data[at - 1] < 127:
             return at
     return 0
 
@@ -125,7 +151,7 @@ def _before(data: bytes, at: int) -> int:
 def _after(data: bytes, at: int) -> int:
     """The first safe place after at, or the end."""
     while (at := data.find(b" ", at + 1)) > 0:
-        if data[at - 1] in _LETTERS:
+        if 32 < data[at - 1] < 127:
             return at
     return len(data)
 
@@ -292,7 +318,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids"
                 made["ids_sha256"].append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest())
                 made["decoded_sha256"].append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
                 if keep_ids:
-                    made[out].append(ids)
+                    made[out].append(np.array(ids, np.int32))
             yield b[kept].assign(**{c: pd.Series(v, index=b.index, dtype=object if c != "n_tokens" else "int64") for c, v in made.items()})
 
     return rows.mapInPandas(run, ", ".join([*fields, *(f"`{c}` {k}" for c, k in added.items())]))
