@@ -117,9 +117,9 @@ class Store:
 
     def open(self) -> bool:
         """Creates the folder; refuses another layout. Returns whether it was new."""
-        mark = self._path(f"{self.path}/_layout.json")
+        mark = self._path(f"{self.path}/layout.json")
         if self._fs.exists(mark):
-            found = json.loads(self.spark.read.text(f"{self.path}/_layout.json").first()[0])
+            found = json.loads(self.spark.read.text(f"{self.path}/layout.json").first()[0])
             if found.get("version") != SCHEMA_VERSION:
                 raise ValueError(f"{self.path} has layout {found}")
             return False
