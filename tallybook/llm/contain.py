@@ -10,7 +10,7 @@ exact containment of the item's shingle set, as strings.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -19,7 +19,6 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from tallybook.llm.common import plain_words, small_batches
 
@@ -155,16 +154,18 @@ def contained_items(
 def clean(docs: DataFrame, items: DataFrame, width: int = 5, least: float = 0.8, item_id: str = "item_id", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of docs whose text contains no item, by the same search; each row is judged by its own text, so nothing is shuffled."""
     small_batches(docs.sparkSession)
-    out = docs
-    for held in _passes(items, item_id, pass_bytes):
 
-        def run(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
+    def hit(held: Broadcast) -> Callable:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             sketches = Sketches(held.value, width, least)
             for texts in batches:
                 yield pd.Series([bool(sketches.matches(t)) for t in texts], dtype=bool)
 
-        hit = F.pandas_udf(run, "boolean", PandasUDFType.SCALAR_ITER)
-        out = out.where(~hit(F.col("text")))
+        return F.pandas_udf(run, "boolean")
+
+    out = docs
+    for held in _passes(items, item_id, pass_bytes):
+        out = out.where(~hit(held)(F.col("text")))
     return out
 
 
