@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic examples are the positives; every other text is unlabelled, whatever its label says. A linear classifier over
-the presence of words is trained in numpy on the risk
+the presence of words and of their beginnings (other forms of a word share its stem) is trained in numpy on the risk
 
     prior * E_p[loss(+f)] + max(0, E_u[loss(-f)] - prior * E_p[loss(-f)])
 
@@ -23,18 +23,26 @@ from tallybook.llm.common import discard, materialize, plain_words, small_batche
 
 #: Documented bounds of the training sample: rows, chosen by a hash of their id.
 POSITIVES, UNLABELLED = 4000, 12000
-#: Words that the classifier may use, the least documents and the least z-score of their share among positives against unlabelled.
+#: Lengths of word beginnings that are features too.
+STARTS = (4, 5, 6)
+#: Features that the classifier may use, the least documents and the least z-score of their share among positives against unlabelled.
 WORDS, LEAST_DOCS, LEAST_Z = 256, 3, 4.0
 FOLDS = 5
 
 
+def features(text: str | None) -> set[bytes]:
+    """Distinct words, and distinct beginnings of longer words, marked by a circumflex."""
+    words = set(plain_words(text))
+    return words.union(*({b"^" + w[:n] for w in words if len(w) > n} for n in STARTS))
+
+
 @dataclass
 class Model:
     bias: float
     weights: dict[bytes, float] = field(default_factory=dict)
 
     def score(self, text: str | None) -> float:
-        found = self.weights.keys() & set(plain_words(text))
+        found = self.weights.keys() & features(text)
         return float(1 / (1 + np.exp(-(self.bias + sum(map(self.weights.__getitem__, sorted(found)))))))
 
 
@@ -42,19 +50,20 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
 
 
-def train(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk with the logistic loss."""
+def train(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, n_pos: np.ndarray | None = None, n_unl: np.ndarray | None = None, rounds: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk with the logistic loss; n_pos and n_unl say how often a row counts."""
     d = x_pos.shape[1]
     w = np.zeros(d + 1)
     w[d] = np.log(prior / (1 - prior))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
-    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (x_pos, x_unl))
+    p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float64) for x in (x_pos, x_unl))
+    a, b = ((np.ones(len(x)) if n is None else n) / (len(x) if n is None else n.sum()) for x, n in ((p, n_pos), (u, n_unl)))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)
-        negative = np.mean(np.logaddexp(0, u @ w)) - prior * np.mean(np.logaddexp(0, p @ w))
-        g_neg = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        g = -prior * (p.T @ (1 - sp)) / len(p) + g_neg if negative >= 0 else -g_neg
+        zp, zu = p @ w, u @ w
+        negative = b @ np.logaddexp(0, zu) - prior * (a @ np.logaddexp(0, zp))
+        g_neg = (b * sigmoid(zu)) @ u - prior * ((a * sigmoid(zp)) @ p)
+        g = g_neg - prior * ((a * sigmoid(-zp)) @ p) if negative >= 0 else -g_neg
         g[:d] += decay * w[:d]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -80,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, prior: float | N
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, p, u) for t, p, u in zip(b["text"], b["positive"], b["unlabelled"], strict=True) for w in set(plain_words(t))]
+            rows = [(w, p, u) for t, p, u in zip(b["text"], b["positive"], b["unlabelled"], strict=True) for w in features(t)]
             yield pd.DataFrame(rows, columns=["word", "p", "u"]).groupby("word", as_index=False).sum()
 
     counts = sample.mapInPandas(seen, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
@@ -90,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, prior: float | N
 
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [set(plain_words(t)) for t in b["text"]]
+            found = [features(t) for t in b["text"]]
             bits = np.array([[w in f for w in words] for f in found], bool).reshape(len(found), len(words))
             yield pd.DataFrame({"positive": b["positive"], "unlabelled": b["unlabelled"], "bits": [np.packbits(r).tobytes() for r in bits]})
 
@@ -98,9 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, prior: float | N
     rows = sample.mapInPandas(presence, "positive int, unlabelled int, bits binary").groupBy("positive", "unlabelled", "bits").count().orderBy("bits", "positive", "unlabelled").limit(POSITIVES + UNLABELLED).collect()
     discard(sample)
     table = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8))[: len(words)] if words else [] for r in rows], np.float32).reshape(len(rows), len(words))
-    times = np.array([r["count"] for r in rows])
-    part = lambda c: np.repeat(table, times * np.array([r[c] for r in rows]), axis=0)
-    weights, bias = train(part("positive"), part("unlabelled"), prior)
+    times = np.array([r["count"] for r in rows], float)
+    n_pos, n_unl = (times * np.array([r[c] for r in rows]) for c in ("positive", "unlabelled"))
+    weights, bias = train(table[n_pos > 0], table[n_unl > 0], prior, n_pos[n_pos > 0], n_unl[n_unl > 0])
     return Model(bias, {w: float(x) for w, x in zip(words, weights, strict=True)})
 
 
