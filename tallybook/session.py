@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,7 +23,16 @@ def session(app: str = "tallybook", cores: int | None = None, **conf: str) -> Sp
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
-    return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
+    return workers_find_package(SparkSession.builder.appName(app).config(map=settings).getOrCreate())
+
+
+def workers_find_package(spark: SparkSession) -> SparkSession:
+    """Puts this package's folder on the Python path of workers that share the driver's disk; elsewhere it is installed or shipped."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
