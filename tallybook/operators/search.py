@@ -46,7 +46,10 @@ def alternatives(spark: SparkSession, terms: list[str], typos: DataFrame) -> Dat
     """
     asked = spark.createDataFrame(list(enumerate(terms)), "pos int, asked string").where(text.may_be_typo(F.col("asked")))
     probe = asked.select("pos", "asked", F.explode(text.variants(F.col("asked"))).alias("variant"))
-    near = typos.join(F.broadcast(probe), "variant").where(F.col("term") != F.col("asked")).select("pos", "asked", "term").distinct()
+    # One edit changes a length by one at most; this filter reaches below the making of variants, where they aren't stored.
+    sizes = [len(t) for t in terms if len(t) >= text.MIN_TYPO] or [-1]
+    likely = typos.where(F.char_length("term").between(min(sizes) - 1, max(sizes) + 1))
+    near = likely.join(F.broadcast(probe), "variant").where(F.col("term") != F.col("asked")).select("pos", "asked", "term").distinct()
     near = near.where(text.within_one_edit(F.col("term"), F.col("asked")))
     return near.withColumn("_n", F.row_number().over(Window.partitionBy("pos").orderBy("term"))).where(F.col("_n") <= text.MAX_ALTERNATIVES).select("pos", "term")
 
