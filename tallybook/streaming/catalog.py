@@ -54,13 +54,13 @@ def distinct_peers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("key", "peer")
 
 
-def upserted(spark: SparkSession, path: str, documents: DataFrame, keys: int = 150) -> DataFrame:
+def upserted(spark: SparkSession, path: str, documents: DataFrame) -> DataFrame:
     """Sightings merged into the stored documents; a batch that is sent again is recognised by its number."""
     changes = tables.sightings(replay(spark, path)).select("key", "seq", "source", "moment")
 
     def each(rows: DataFrame, n: int, folder: str) -> None:
         delta = catalog.counters(rows.withColumn("peer", F.lit(None).cast("long")))
-        docs = documents.where(F.col("doc_id") < keys).join(delta, F.col("doc_id") == F.col("key")).withColumn("seq", F.col("doc_id"))
+        docs = documents.join(delta, F.col("doc_id") == F.col("key")).withColumn("seq", F.col("doc_id"))
         to = store.Store(spark, f"{folder}/store")
         to.open()
         to.apply(docs.select("info_hash", "seq", "name", "size", "file_count", *store.COUNTERS), n)

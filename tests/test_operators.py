@@ -180,6 +180,17 @@ def test_later_metrics_win(spark):
     assert {r.metric: r.value for r in stats.union([part(a=1, b=2), part(b=3)]).collect()} == {"a": 1.0, "b": 3.0}
 
 
+def test_streamed_upserts_reach_every_document(spark, tmp_path):
+    from tallybook.streaming import catalog as streams
+
+    events = [(k, k * 100, "view", "{}") for k in range(5)] + [(9, 400, "purchase", '{"k": 1}')]
+    rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "user_id", "event_type", "props")
+    rows.write.parquet(f"{tmp_path}/events")
+    d = spark.createDataFrame([doc(k, f"n{k}") for k in (0, 100, 200, 400, 500)], DOC).select("doc_id", "info_hash", "name", "size", "file_count")
+    found = {int(r.info_hash, 16): (r.seen_count, r.announce_count) for r in streams.upserted(spark, f"{tmp_path}/events", d).collect()}
+    assert found == {0: (1, 0), 100: (1, 0), 200: (1, 0), 400: (2, 1)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], OBS)
     assert catalog.counters(none).count() == catalog.recent_peers(none).count() == 0
