@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, contain, secrets, simhash, toxicity
+from tallybook.llm import bpe, contain, nearcopies, secrets, toxicity
 from tallybook.llm.common import materialize
 from tallybook.llm.queries import table, vocabulary
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays, once if its row is repeated."""
-    kept = simhash.near_duplicates(docs).where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
+    """Of each class of near copies (0.8 or more of their five-word shingles shared) the smallest id stays, once if its row is repeated."""
+    kept = nearcopies.kept_ids(docs).select(F.col("id").alias("doc_id"))
     found = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
     once = Window.partitionBy("doc_id").orderBy("doc_id", F.xxhash64("text"))
     found = found.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*docs.columns)

@@ -433,6 +433,30 @@ def test_large_groups_of_prints_are_compared_in_parts(spark, monkeypatch):
     assert [found.get(k, k) for k in range(len(prints))] == brute_components(prints)
 
 
+def test_pipeline_drops_near_copies_by_five_word_similarity(spark, monkeypatch):
+    import corpus_pipeline
+    from tallybook.llm import nearcopies
+
+    rng = np.random.default_rng(12)
+    texts = ["", None, "one", "One", "one two three four", LONG]
+    for _ in range(40):
+        words = rng.choice([f"w{k}" for k in range(999)], int(rng.integers(20, 400))).tolist()
+        for _ in range(4):
+            texts.append(" ".join(words))
+            for at in rng.integers(0, len(words), max(1, len(words) // 60)):
+                words[at] = f"edit{rng.integers(99)}"
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in split]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [brute_print(t) for t in texts]
+    assert any((prints[i] ^ prints[j]).bit_count() > 3 for i, j in near)
+    label = classes(len(texts), near)
+    for part in (nearcopies.PART, 2):
+        monkeypatch.setattr(nearcopies, "PART", part)
+        found = corpus_pipeline.drop_near_copies(spark, docs(spark, *texts), "").collect()
+        assert sorted(r.doc_id for r in found) == [k for k in range(len(texts)) if label[k] == k]
+
+
 def test_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A B C D"), (None, "other words here now"), (3, None)], "doc_id long, text string")
     found = sorted((r.id or 0, r.component or 0) for r in simhash.near_duplicates(rows).collect())
