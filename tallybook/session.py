@@ -36,11 +36,15 @@ def workers_find_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may go without: it gets a
+    temporary one. Elsewhere a missing setting is an error, as a folder of one machine would lose what the others write."""
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallybook-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
