@@ -3,6 +3,10 @@
 A text is cut into sentences, each is normalised (ASCII lower case, everything but letters and digits to one space) and
 mapped to the identifier of a known licence sentence; the identifiers in order are matched against an ordered list of rules.
 A rule names identifiers that must follow each other, with no other known sentence between them unless it says so.
+
+Sentences end at punctuation before white space, at semicolons and at blank lines; a line break alone is white space, so wrapped
+and commented texts (marks at the start of a line are left out) read like unwrapped ones. Titles and tags that stand on a line
+of their own need no punctuation: a sentence that isn't known is tried without its first line, and then line by line.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.llm.common import fresh
+
 # Known sentences (normalised) of public licence texts and notices.
 SENTENCES = {
     "licensed under the apache license version 2 0": "apache2-notice",
@@ -37,6 +43,10 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "either version 2 of the license or at your option any later version": "gpl2-or-later",
+    "either version 3 of the license or at your option any later version": "gpl3-or-later",
     "licensed under cc by nc 4 0": "ccbync4-notice",
     "licensed under cc by 4 0": "ccby4-notice",
     "licensed under cc by sa 4 0": "ccbysa4-notice",
@@ -70,6 +80,8 @@ RULES = (
     ("bsd2-full", "BSD-2-Clause", "permissive", ("bsd-grant", "...", "bsd-source", "...", "bsd-binary")),
     ("gpl3-full", "GPL-3.0-or-later", "copyleft", ("gpl3-later", "gpl-hope")),
     ("gpl2-full", "GPL-2.0-or-later", "copyleft", ("gpl2-later", "gpl-hope")),
+    ("gpl3-parts", "GPL-3.0-or-later", "copyleft", ("gpl-terms", "gpl3-or-later")),
+    ("gpl2-parts", "GPL-2.0-or-later", "copyleft", ("gpl-terms", "gpl2-or-later")),
     ("gpl3-spdx", "GPL-3.0", "copyleft", ("gpl3-spdx",)),
     ("gpl2-spdx", "GPL-2.0", "copyleft", ("gpl2-spdx",)),
     ("mit-spdx", "MIT", "permissive", ("mit-spdx",)),
@@ -97,8 +109,12 @@ RULES = (
     ("reserved", "proprietary", "reserved", ("reserved",)),
 )
 
+#: One of these is in every known sentence; texts without any are not cut at all.
+HINTS = "licen|copyright|warranty|reserved|software|redistribut|permission"
+#: Rewritten before the cut, in order: line breaks, marks at the start of lines, lines without letters or digits, "v. 2".
+TIDY = ((r"\x0D\x0A?", "\n"), (r"\x0A[\x09\x20/*#;%>|!-]+", "\n"), (r"\x0A[^A-Za-z0-9\x0A]*\x0A", "\n\n"), (r"([vV])[.]\x20?([0-9])", "\x01 \x02"))
 #: Where a sentence ends.
-ENDS = r"[.!?][\x09\x20]+|[\x0A\x0D;]+"
+ENDS = r"[.!?][\x22')]*[\x09\x20\x0A]+|:[\x09\x20]*\x0A+|;|\x0A\x0A+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,36 +127,68 @@ def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, repeats included."""
     known = F.create_map(*[F.lit(x) for x in chain(*SENTENCES.items())])
     plain = lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
-    sentences = F.filter(F.split(text, ENDS, -1), lambda s: F.char_length(s).between(8, 2000))
-    return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, plain(s))), lambda x: x.isNotNull())
+    for pattern, to in TIDY:
+        text = F.regexp_replace(text, pattern, to.replace("\x01", "$1").replace("\x02", "$2"))
+
+    def of(sentence: Column) -> Column:
+        name = lambda s: F.try_element_at(known, plain(s))
+        first = F.substring_index(sentence, "\n", 1)
+        rest = F.substring(sentence, F.char_length(first) + 2, F.char_length(sentence))
+        lines = F.transform(F.split(sentence, "\n", -1), name)
+        return F.when(name(sentence).isNotNull(), F.array(name(sentence))).when(name(rest).isNotNull(), F.array(name(first), name(rest))).otherwise(lines)
+
+    return F.filter(F.flatten(F.transform(F.split(text, ENDS, -1), of)), lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with columns sentence_ids, license_rule, license and license_class; the first rule that fits wins, no shuffle.
+    """docs with columns sentence_ids, license_rules and licenses (all that fit, in order of preference), and license_rule,
+    license and license_class of the first; no shuffle.
 
-    Null and empty texts have no sentences and no licence (null). Columns of these names are replaced.
+    Null and empty texts have no sentences and no licence (empty lists, nulls). Repeated rows are judged each for itself. Columns
+    of these names are replaced, all others stay as they are.
     """
-    found = docs.withColumn("sentence_ids", identifiers(F.coalesce(F.col(text_col), F.lit(""))))
-    line = F.concat(F.lit(";"), F.array_join("sentence_ids", ";"), F.lit(";"))
-    first = F.coalesce(*[F.when(F.col("_line").rlike(f";{rule_pattern(ids)}"), F.lit(k)) for k, (_, _, _, ids) in enumerate(RULES)])
-    found = found.withColumn("_line", line).withColumn("_rule", F.when(F.size("sentence_ids") > 0, first))
-    value = lambda at: F.get(F.array(*[F.lit(r[at]) for r in RULES]), F.col("_rule"))
-    return found.withColumns({"license_rule": value(0), "license": value(1), "license_class": value(2)}).drop("_line", "_rule")
+    names = ("sentence_ids", "license_rules", "licenses", "license_rule", "license", "license_class")
+    [line, fits, source] = fresh(docs, "_line", "_fits", "_source")
+    none = F.array().cast("array<string>")
+    found = docs.withColumn(source, F.coalesce(F.col(text_col), F.lit("")))
+    found = found.withColumn("sentence_ids", F.when(F.lower(source).rlike(HINTS), identifiers(F.col(source))).otherwise(none))
+    found = found.withColumn(line, F.concat(F.lit(";"), F.array_join("sentence_ids", ";"), F.lit(";")))
+    fit = F.filter(F.array(*[F.when(F.col(line).rlike(f";{rule_pattern(ids)}"), F.lit(k)) for k, (_, _, _, ids) in enumerate(RULES)]), lambda x: x.isNotNull())
+    found = found.withColumn(fits, F.when(F.size("sentence_ids") > 0, fit).otherwise(F.array().cast("array<int>")))
+    value = lambda at, k: F.get(F.array(*[F.lit(r[at]) for r in RULES]), k)
+    first = F.get(F.col(fits), F.lit(0))
+    added = {"license_rules": F.transform(fits, lambda k: value(0, k)), "licenses": F.array_distinct(F.transform(fits, lambda k: value(1, k))), "license_rule": value(0, first), "license": value(1, first), "license_class": value(2, first)}
+    if text_col in names:
+        raise ValueError(f"{text_col} is the name of a result")
+    return found.withColumns(added).drop(line, fits, source)
 
 
 def _oracle() -> str:
     q = lambda s: "'" + s + "'"
     known = ", ".join(f"({q(s)}, {q(i)})" for s, i in SENTENCES.items())
-    rules = " ".join(f"WHEN regexp_matches(line, {q(';' + rule_pattern(ids))}) THEN {k}" for k, (_, _, _, ids) in enumerate(RULES))
-    names = lambda at: "[" + ", ".join(q(r[at]) for r in RULES) + "][r + 1]"
+    tidy = "coalesce(text, '')"
+    for pattern, to in TIDY:
+        said = to.replace("\x01", "\\1").replace("\x02", "\\2").replace("\n", "' || chr(10) || '")
+        tidy = f"regexp_replace({tidy}, {q(pattern)}, '{said}', 'g')"
+    rules = ", ".join(f"CASE WHEN regexp_matches(line, {q(';' + rule_pattern(ids))}) THEN {k} END" for k, (_, _, _, ids) in enumerate(RULES))
+    value = lambda at: "[" + ", ".join(q(r[at]) for r in RULES) + "]"
+    plain = lambda s: f"trim(regexp_replace(translate({s}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
 WITH k(sentence, id) AS (VALUES {known}),
-s AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{ENDS}') AS p FROM documents)),
-n AS (SELECT doc_id, i, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s WHERE length(s) BETWEEN 8 AND 2000),
-g AS (SELECT doc_id, count(*) AS c, string_agg(id, ';' ORDER BY i) AS ids FROM n JOIN k USING (sentence) GROUP BY doc_id),
-r AS (SELECT doc_id, c, ids, CASE {rules} END AS r FROM (SELECT *, ';' || ids || ';' AS line FROM g))
-SELECT doc_id, coalesce(c, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, {names(0)} AS license_rule, {names(1)} AS license, {names(2)} AS license_class
-FROM documents LEFT JOIN r USING (doc_id)
+s AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex({tidy}, '{ENDS.replace("'", "''")}') AS p FROM documents)),
+l AS (SELECT doc_id, i, s, string_split(s, chr(10)) AS ls FROM s),
+w AS (SELECT doc_id, i, s, ls, a.id AS whole, b.id AS rest FROM l LEFT JOIN k a ON a.sentence = {plain("s")} LEFT JOIN k b ON len(ls) > 1 AND b.sentence = {plain("array_to_string(ls[2:], chr(10))")}),
+n AS (
+  SELECT doc_id, i, 0 AS j, whole AS id FROM w WHERE whole IS NOT NULL
+  UNION ALL SELECT doc_id, i, 1, rest FROM w WHERE whole IS NULL AND rest IS NOT NULL
+  UNION ALL SELECT doc_id, i, CASE WHEN rest IS NULL THEN j ELSE 0 END, id FROM (SELECT doc_id, i, rest, unnest(CASE WHEN rest IS NULL THEN ls ELSE ls[:1] END) AS line, unnest(range(len(CASE WHEN rest IS NULL THEN ls ELSE ls[:1] END))) AS j FROM w WHERE whole IS NULL)
+    JOIN k ON sentence = {plain("line")}),
+g AS (SELECT doc_id, count(*) AS c, string_agg(id, ';' ORDER BY i, j) AS ids FROM n GROUP BY doc_id),
+r AS (SELECT doc_id, c, ids, list_filter([{rules}], lambda x: x IS NOT NULL) AS fits FROM (SELECT *, ';' || ids || ';' AS line FROM g)),
+f AS (SELECT doc_id, c, ids, list_transform(fits, lambda x: {value(0)}[x + 1]) AS rules, list_transform(fits, lambda x: {value(1)}[x + 1]) AS names, {value(2)}[fits[1] + 1] AS class FROM r)
+SELECT doc_id, coalesce(c, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(rules, ';'), '') AS license_rules,
+  coalesce(array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ';'), '') AS licenses, rules[1] AS license_rule, names[1] AS license, class AS license_class
+FROM documents LEFT JOIN f USING (doc_id)
 """
 
 

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ";").alias("sentence_ids"), "license_rule", "license", "license_class")
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ";").alias("sentence_ids"), F.array_join("license_rules", ";").alias("license_rules"), F.array_join("licenses", ";").alias("licenses"), "license_rule", "license", "license_class")
 
 
 def vocabulary() -> str:
