@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import small_batches
 
-#: Shared chunks sent to every task: at most this many of at most MAX_CHUNK bytes, so under 20 MB.
-SHARED = 4096
+#: Shared chunks sent to every task: those that save most, up to this many bytes of text and this many chunks.
+SHARED_BYTES, SHARED = 8_000_000, 32_768
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 96, 9, 4096
 #: Chunks a task remembers.
 CACHED = 16384
@@ -229,17 +229,18 @@ def _agrees(ids: list[int], one: list[int], two: list[int], a: int, b: int, c: i
 
 
 class Reuse:
-    """Tokens of chunks: those shared across the corpus, and the task's own."""
+    """Tokens of chunks: those shared across the corpus (as 32-bit numbers), and the task's own."""
 
-    def __init__(self, coder: Codec, shared: dict[bytes, list[int]]) -> None:
+    def __init__(self, coder: Codec, shared: dict[bytes, bytes]) -> None:
         self.coder, self.shared, self.own = coder, shared, {}
 
     def __call__(self, chunk: bytes) -> list[int]:
-        ids = self.shared.get(chunk)
-        if ids is None and (ids := self.own.get(chunk)) is None:
+        ids = self.own.get(chunk)
+        if ids is None:
             if len(self.own) >= CACHED:
                 self.own.clear()
-            ids = self.own[chunk] = self.coder.encode(chunk.decode())
+            packed = self.shared.get(chunk)
+            ids = self.own[chunk] = np.frombuffer(packed, "<u4").tolist() if packed is not None else self.coder.encode(chunk.decode())
         return ids
 
 
@@ -247,56 +248,62 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode()
 
 
-def shared_chunks(docs: DataFrame, path: str, text_col: str = "text", most: int = SHARED) -> dict[bytes, list[int]]:
-    """Tokens of the chunks whose reuse saves most bytes, each encoded once; counted over all documents."""
+def shared_chunks(docs: DataFrame, path: str, text_col: str = "text", most_bytes: int = SHARED_BYTES, most: int = SHARED) -> dict[bytes, bytes]:
+    """Tokens of the chunks whose reuse saves most bytes, each encoded once; counted over all documents. Each is taken from one
+    text that has it, so only such texts are cut again."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n: Counter = Counter()
-            size: dict[int, int] = {}
-            for t in b["text"]:
+            seen: dict[int, tuple[int, int]] = {}
+            for t, k in zip(b["text"], b["k"], strict=True):
                 data = _bytes(t)
                 borders = cuts(data)
                 for x, y in zip(borders, borders[1:], strict=False):
                     h = xxhash.xxh3_64_intdigest(data[x:y])
                     n[h] += 1
-                    size[h] = y - x
-            yield pd.DataFrame({"h": np.fromiter(n, np.uint64, len(n)).view(np.int64), "n": list(n.values()), "size": [size[h] for h in n]})
-
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = texts.mapInPandas(count, "h long, n long, size long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
-    best = counts.where("n > 1").orderBy(F.desc(F.col("n") * F.col("size")), "h").limit(most)
-    wanted = frozenset(r.h & (2**64 - 1) for r in best.collect())
+                    seen[h] = (y - x, k)
+            yield pd.DataFrame({"h": np.fromiter(n, np.uint64, len(n)).view(np.int64), "n": list(n.values()), "size": [seen[h][0] for h in n], "k": [seen[h][1] for h in n]})
+
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("k"))
+    counts = texts.mapInPandas(count, "h long, n long, size long, k long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.min("k").alias("k"))
+    best, room = [], most_bytes
+    for r in counts.where("n > 1").orderBy(F.desc(F.col("n") * F.col("size")), "h").limit(most).collect():
+        room -= r["size"]
+        if room >= 0:
+            best.append(r)
+    if not best:
+        return {}
+    wanted = frozenset(r.h & (2**64 - 1) for r in best)
+    carriers = docs.sparkSession.createDataFrame([(k,) for k in {r.k for r in best}], "k long")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = set(wanted)
-        for b in batches:
-            found = {}
-            for t in b["text"] if left else ():
-                data = _bytes(t)
-                borders = cuts(data)
-                for x, y in zip(borders, borders[1:], strict=False):
-                    h = xxhash.xxh3_64_intdigest(data[x:y])
-                    if h in left:
-                        left.discard(h)
-                        found[h] = data[x:y]
-            yield pd.DataFrame({"h": np.fromiter(found, np.uint64, len(found)).view(np.int64), "chunk": list(found.values())})
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, done = set(wanted), set()
         coder = codec(path)
         for b in batches:
-            yield pd.DataFrame({"chunk": b["chunk"], "ids": [np.array(coder.encode(c.decode()), "<u4").tobytes() for c in b["chunk"]]})
-
-    if not wanted:
-        return {}
-    once = texts.mapInPandas(gather, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
-    return {bytes(r.chunk): np.frombuffer(r.ids, "<u4").tolist() for r in once.mapInPandas(encode, "chunk binary, ids binary").collect()}
+            found = {}
+            for t, k in zip(b["text"], b["k"], strict=True):
+                if k not in done:
+                    done.add(k)
+                    data = _bytes(t)
+                    borders = cuts(data)
+                    for x, y in zip(borders, borders[1:], strict=False):
+                        h = xxhash.xxh3_64_intdigest(data[x:y])
+                        if h in left:
+                            left.discard(h)
+                            found[h] = data[x:y]
+            yield pd.DataFrame({"h": np.fromiter(found, np.uint64, len(found)).view(np.int64), "chunk": list(found.values()), "ids": [np.array(coder.encode(c.decode()), "<u4").tobytes() for c in found.values()]})
+
+    # At most `most` numbers are broadcast.
+    once = texts.join(F.broadcast(carriers), "k", "left_semi").mapInPandas(gather, "h long, chunk binary, ids binary").groupBy("h").agg(F.min(F.struct("chunk", "ids")).alias("x"))
+    return {bytes(r.x.chunk): bytes(r.x.ids) for r in once.collect()}
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", keep_ids: bool = True) -> DataFrame:
     """docs without text, with its tokens (array of int, column `out`, if keep_ids), n_tokens, ids_sha256 and decoded_sha256.
 
-    Null texts count as empty and have no tokens. Other columns stay, apart from columns of the names added.
+    Null texts count as empty and have no tokens. Repeated rows are encoded each for itself. Other columns stay, apart from
+    columns of the names added.
     """
     spark = docs.sparkSession
     small_batches(spark)
