@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import SHARE, components, lookup_join, materialize, small_batches, space_words
+from tallybook.llm.common import components, lookup_join, materialize, small_batches, space_words
 
 #: Lengths of the five bit blocks, from the lowest bit.
 BLOCKS = (13, 13, 13, 13, 12)
@@ -43,8 +43,12 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(sizes + 1) - 1
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], seed) for a, b in zip((ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    table = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-    bits = np.unpackbits(table, axis=1, bitorder="little").sum(0, dtype=np.int64) * 2 > len(hashes)
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes; none give 0."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -121,10 +125,9 @@ def near_pairs(reps: DataFrame, bits: int = 3, refs: np.ndarray | None = None) -
     block = [F.shiftrightunsigned("fp", starts[k]).bitwiseAND(F.lit((1 << BLOCKS[k]) - 1)) for k in range(len(BLOCKS))]
     keys = [F.shiftleft(F.shiftleft(F.lit(t).cast("long"), 13).bitwiseOR(block[i]), 13).bitwiseOR(block[j]) for t, (i, j) in enumerate(combinations(range(5), 2))]
     rows = reps.where("node is not null").select("fp", "node", F.explode(F.array(*keys)).alias("key"))
-    counts = rows.groupBy("key").count().where(F.col("count") > PART)
-    total = reps.count() * len(keys)
-    heavy = counts.where(F.col("count") * SHARE > F.lit(total)).select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    dealt = rows.join(F.broadcast(heavy), "key", "left")
+    # Groups that are too large are split by their own size, whatever share of the rows they hold.
+    parts = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > PART).select("key", "c", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
+    dealt = lookup_join(rows, parts, ["key"], "c", reps.count() * len(keys))
     own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int")
     other = F.when(F.coalesce("parts", F.lit(1)) > 1, F.expr("filter(sequence(0, parts - 1), p -> p <> own)")).otherwise(F.array(F.lit(0)))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(other))
@@ -162,10 +165,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints are one node, so copies cost nothing. Null or empty texts have fingerprint zero and link like any
     other. Rows that repeat an id are one document and unite what they link to. A null id belongs to its fingerprint's
-    component, whose smallest id may be null if no row has one.
+    component and joins what that links to; the component is null where no row of it has an id.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, width))
-    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")))
-    found = components(near_pairs(reps, bits))
-    classes = materialize(reps.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component")))
-    return lookup_join(prints, classes, ["fp"], "n", prints.count()).select("id", "fp", "component")
+    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    nodes = reps.select("fp", F.col("fp").alias("node"))
+    # Rows of one id with several fingerprints tie these; only ids that stand there more than once are asked for.
+    twice = prints.where("id is not null").groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("id", "a")
+    same = prints.join(twice, "id").select("a", F.col("fp").alias("b"))
+    found = components(near_pairs(nodes, bits).unionByName(same))
+    classes = materialize(reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "n", "id", F.coalesce("component", "fp").alias("class")))
+    least = materialize(classes.groupBy("class").agg(F.min("id").alias("component"), F.count("*").alias("c")))
+    named = materialize(lookup_join(classes, least, ["class"], "c", classes.count()).select("fp", "n", "component"))
+    return lookup_join(prints, named, ["fp"], "n", prints.count()).select("id", "fp", "component")
