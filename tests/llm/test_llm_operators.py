@@ -256,7 +256,7 @@ def test_odd_embeddings(spark):
 
 def test_large_buckets_are_compared_in_parts(spark, monkeypatch):
     monkeypatch.setattr(itq, "PART", 16)
-    monkeypatch.setattr("tallybook.llm.itq.SHARE", 10**9)
+    monkeypatch.setattr(itq, "BUCKET", 16)
     rng = np.random.default_rng(2)
     base = rng.normal(size=64)
     rows = [(k, (base + rng.normal(size=64) * 0.05).astype(np.float32).tolist(), 1, "") for k in range(90)]
@@ -426,7 +426,6 @@ def test_links_of_prints(spark, seeds, rnd):
 
 def test_large_groups_of_prints_are_compared_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PART", 8)
-    monkeypatch.setattr(simhash, "SHARE", 10**9)
     prints = list(dict.fromkeys([sum(1 << b for b in (k % 7, k % 11 + 7, k % 5 + 20)) for k in range(300)]))
     rows = spark.createDataFrame([(p, k) for k, p in enumerate(prints)], "fp long, node long")
     found = {r.node: r.component for r in components(simhash.near_pairs(rows)).collect()}
