@@ -1,34 +1,31 @@
 """Corpus pipeline over documents: five stages, each a decision of one operator of tallybook.llm.
 
 Every stage takes what its predecessor kept and returns the columns of documents (the last: tokens in place of texts).
-Rows with a null text are empty texts. Rows with a null doc_id are judged by their text and kept by the near-duplicate stage.
+Rows with a null text are empty texts. Rows are judged by their texts, also where doc_id is null or repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import bpe, contain, nearcopies, secrets, toxicity
-from tallybook.llm.common import materialize
+from tallybook.llm.common import fresh, materialize
 from tallybook.llm.queries import table, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic (0.5 or more) go."""
+    [score] = fresh(docs, "_toxicity")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (0.8 or more of their five-word shingles shared) the smallest id stays, once if its row is repeated."""
-    kept = nearcopies.kept_ids(docs).select(F.col("id").alias("doc_id"))
-    found = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    once = Window.partitionBy("doc_id").orderBy("doc_id", F.xxhash64("text"))
-    found = found.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*docs.columns)
-    return found.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each class of near copies (0.8 or more of their five-word shingles shared) the row with the smallest id stays, once."""
+    return nearcopies.kept_rows(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +35,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets and linked credentials are replaced by a mark; the documents stay, n_chars is the new length."""
-    text = secrets.redacted(F.coalesce("text", F.lit("")), F.col("_spans"))
-    found = secrets.with_spans(docs, out="_spans").withColumn("text", F.when(F.col("text").isNotNull(), text))
+    [spans] = fresh(docs, "_spans")
+    text = secrets.redacted(F.coalesce("text", F.lit("")), F.col(spans))
+    found = secrets.with_spans(docs, out=spans).withColumn("text", F.when(F.col("text").isNotNull(), text))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 
