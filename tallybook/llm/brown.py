@@ -1,12 +1,15 @@
 """Brown class-based n-gram scoring.
 
-P(w | v) = P(class of w | class of v) * P(unit of w | class of w) * P(w | unit), mixed with the add-one unigram. A unit is one
-of the most frequent words, or all other words of one shape (length band and last character); units are assigned to classes
-by exchange clustering on bigram counts. Words never seen have a shape, so they have a class like any other.
+P(w | v) = P(class of w | class of v) * P(w | class of w), mixed with the add-one unigram. Classes come from exchange
+clustering in two steps, as in distributed exchange: the most frequent words, and all others lumped by shape (length band and
+last byte), are exchanged against each other on the driver, on a table of fixed size; then every other word seen LEAST times or
+more in training is moved to the class that fits its neighbours best, from its counts against the neighbours' classes over
+the whole corpus. So the clustered vocabulary grows with the corpus. Rarer and unseen words keep the class of their shape.
 
 Counts cover every word of every training text. Texts are first packed into blocks: token numbers of a block-wide vocabulary,
-and that vocabulary as 64-bit hashes with training counts. Hashes, not texts, are then shuffled: once to add up the counts of
-a word over all blocks, once to bring the sums back to their block, where all its texts are scored at once.
+and that vocabulary as 64-bit hashes with training counts. Hashes, not texts, are then shuffled: once to add up the counts and
+neighbours of a word over all blocks (a word has one row a block, however often it stands there), once to bring sum and class
+back to the block. A block's texts are kept and read in runs, so memory follows the run and the block's vocabulary.
 """
 
 from __future__ import annotations
@@ -15,24 +18,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import materialize, small_batches, space_words
+from tallybook.llm.common import batch_rows, discard, materialize, small_batches
 
-#: Bytes of text in a block.
-BLOCK = 32_000_000
-#: Most frequent words that are units of their own, and classes.
+#: Bytes of text and distinct words that end a block; tokens handled at once.
+BLOCK, BLOCK_WORDS, RUN = 32_000_000, 400_000, 400_000
+#: Words of a block are numbered in so many bits of a place.
+PLACE_BITS = 24
+#: Most frequent words, exchanged on the driver, and classes (at most 127).
 WORDS, CLASSES = 512, 48
 SHAPES = 64
-#: Share of the class model in the mixture; added to transition and to emission counts.
-MIX, ADD_CLASS, ADD_WORD = 0.85, 0.1, 0.5
+#: Training count from which a word is given a class by its neighbours.
+LEAST = 2
+#: Share of the class model in the mixture; added to transition counts; taken off each word's count in its class.
+MIX, ADD_CLASS, DISCOUNT = 0.85, 0.1, 0.75
 FOLDS, HELD = 7, 2
 #: No word has white space, so the end's hash is that of a line feed.
 END = b"\n"
+#: A word's share in some block from which it may be one of the most frequent.
+SHARE_IN_BLOCK = 2.0**-17
 
 
 class _Numbers(dict):
@@ -59,61 +69,96 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
 
 
 def packed(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """Blocks of docs (doc_id, text, held_out), each within a task; its number holds the partition and the order in it."""
+    """Blocks of docs (doc_id, text, held_out), each within a task; its number holds the partition and the order in it. tokens
+    and lengths are lists, one entry a run of whole texts."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, made = TaskContext.get().partitionId(), 0
-        numbers, ids, held, tokens, size = _Numbers({END: 0}), [], [], [], 0
+        numbers, counts, ids, held, runs, sizes, lines, size, room = _Numbers({END: 0}), np.zeros(1, np.uint32), [], [], [], [], [], 0, RUN
+
+        def close() -> None:
+            """Packs the texts since the last run."""
+            nonlocal counts, lines, room
+            lengths = np.fromiter(map(len, lines), np.int32, len(lines))
+            flat = np.concatenate(lines)
+            learnt = np.repeat(~np.array(held[len(held) - len(lines) :], bool), lengths)
+            counts = np.concatenate([counts, np.zeros(len(numbers) - len(counts), np.uint32)]) + np.bincount(flat[learnt], minlength=len(numbers)).astype(np.uint32)
+            runs.append(_pack(flat))
+            sizes.append(_pack(lengths))
+            lines, room = [], RUN
 
         def block() -> pd.DataFrame:
-            nonlocal numbers, ids, held, tokens, size, made
-            lengths = np.fromiter(map(len, tokens), np.int32, len(tokens))
-            flat = np.concatenate(tokens)
-            learnt = np.repeat(~np.array(held, bool), lengths)
-            count = np.bincount(flat[learnt], minlength=len(numbers)).astype(np.uint32)
+            nonlocal numbers, counts, ids, held, runs, sizes, size, made
+            if lines:
+                close()
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
             shapes = np.fromiter(map(shape, numbers), np.uint8, len(numbers))
-            row = {"block": (part << 24) + made, "ids": [ids], "held": [held], "lengths": [_pack(lengths)], "tokens": [_pack(flat)], "hashes": [hashes.tobytes()], "shapes": [_pack(shapes)], "counts": [_pack(count)]}
+            row = {"block": (part << 16) + made, "ids": [ids], "held": [held], "lengths": [sizes], "tokens": [runs], "hashes": [hashes.tobytes()], "shapes": [_pack(shapes)], "counts": [_pack(counts)]}
             made += 1
-            numbers, ids, held, tokens, size = _Numbers({END: 0}), [], [], [], 0
+            numbers, counts, ids, held, runs, sizes, size = _Numbers({END: 0}), np.zeros(1, np.uint32), [], [], [], [], 0
             return pd.DataFrame(row)
 
         for b in batches:
             for i, t, h in zip(b["doc_id"], b["text"], b["held_out"], strict=True):
-                words = space_words(t)
-                line = np.empty(len(words) + 1, np.uint32)
+                raw = (t or "").encode("utf-8", "surrogatepass")
+                words = raw.lower().split()
+                line = np.zeros(len(words) + 1, np.uint32)
                 line[:-1] = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
-                line[-1] = 0
                 ids.append(None if i is None or i != i else int(i))
                 held.append(bool(h))
-                tokens.append(line)
-                size += len(t or "") + 1
-                if size >= block_bytes:
+                lines.append(line)
+                room -= len(line)
+                size += len(raw) + 1
+                if room <= 0:
+                    close()
+                if size >= block_bytes or len(numbers) >= BLOCK_WORDS:
                     yield block()
         if ids:
             yield block()
 
-    schema = "block long, ids array<long>, held array<boolean>, lengths binary, tokens binary, hashes binary, shapes binary, counts binary"
+    schema = "block long, ids array<long>, held array<boolean>, lengths array<binary>, tokens array<binary>, hashes binary, shapes binary, counts binary"
     return docs.select("doc_id", "text", "held_out").mapInPandas(run, schema)
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(block, at, n, first, shape): training count n over all blocks of each word of each block; first holds the word's hash
-    in one of its rows and null in the others."""
+def _runs(tokens: list[bytes], lengths: list[bytes]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(which texts of the block, their tokens, their lengths) of each run."""
+    at = 0
+    for t, n in zip(tokens, lengths, strict=True):
+        sizes = _unpack(n, "<i4")
+        yield slice(at, at + len(sizes)), _unpack(t, "<u4"), sizes
+        at += len(sizes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def core_words(blocks: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the most frequent words of the training texts, sorted.
+
+    A word as frequent as that has a share of SHARE_IN_BLOCK or more in some block; such words are candidates, at most
+    1 / SHARE_IN_BLOCK of a block, and the best are counted again over all blocks.
+    """
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for h, c in zip(b["hashes"], b["counts"], strict=True):
+                n = _unpack(c, "<u4").astype(np.int64)
+                some = np.flatnonzero((n > 0) & (n >= n.sum() * SHARE_IN_BLOCK))
+                yield pd.DataFrame({"h": np.frombuffer(h, np.int64)[some], "n": n[some]})
+
+    rows = blocks.select("hashes", "counts")
+    add = lambda df: df.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h")
+    near = np.sort(np.array([r.h for r in add(rows.mapInPandas(likely, "h long, n long")).limit(8 * words).collect()], np.int64))
+    if not len(near):
+        return np.empty(0, np.uint64)
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for block, h, s, c in zip(b["block"], b["hashes"], b["shapes"], b["counts"], strict=True):
-                hashes, shapes, counts = np.frombuffer(h, np.int64), _unpack(s, "u1").astype(np.int8), _unpack(c, "<u4").astype(np.int64)
-                for k in range(0, len(hashes), 100_000):
-                    part = slice(k, k + 100_000)
-                    yield pd.DataFrame({"h": hashes[part], "block": block, "at": np.arange(k, min(k + 100_000, len(hashes)), dtype=np.int32), "shape": shapes[part], "n": counts[part]})
+            for h, c in zip(b["hashes"], b["counts"], strict=True):
+                own = np.frombuffer(h, np.int64)
+                at = np.flatnonzero(np.isin(own, near))
+                yield pd.DataFrame({"h": own[at], "n": _unpack(c, "<u4")[at].astype(np.int64)})
 
-    rows = blocks.select("block", "hashes", "shapes", "counts").mapInPandas(run, "h long, block long, at int, shape byte, n long")
-    same = Window.partitionBy("h")
-    rows = rows.select("block", "at", "shape", "h", F.sum("n").over(same).alias("n"), F.min("block").over(same).alias("one"))
-    return rows.select("block", "at", "shape", "n", F.when(F.col("one") == F.col("block"), F.col("h")).alias("first"))
+    found = add(rows.mapInPandas(exact, "h long, n long")).limit(words).collect()
+    return np.sort(np.array([r.h & (2**64 - 1) for r in found], np.uint64))
 
 
 def exchange(n: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
@@ -171,14 +216,14 @@ def bigrams(blocks: DataFrame, top: np.ndarray) -> np.ndarray:
         for b in batches:
             for h, s, t, n, held in zip(b["hashes"], b["shapes"], b["tokens"], b["lengths"], b["held"], strict=True):
                 unit = unit_of(np.frombuffer(h, np.uint64), _unpack(s, "u1"), top)
-                lengths = _unpack(n, "<i4")
-                seq = unit[_unpack(t, "<u4")]
-                learnt = np.repeat(~np.array(held, bool), lengths)
-                before = np.empty_like(seq)
-                before[1:] = seq[:-1]
-                before[np.cumsum(lengths) - lengths] = unit[0]
-                pair, count = np.unique((before.astype(np.int64) * units + seq)[learnt], return_counts=True)
-                yield pd.DataFrame({"pair": pair, "n": count})
+                total = np.zeros(units * units, np.int64)
+                for texts, flat, lengths in _runs(t, n):
+                    seq = unit[flat]
+                    before, _ = _around(seq, lengths, unit[0])
+                    learnt = np.repeat(~np.array(held[texts], bool), lengths)
+                    total += np.bincount((before.astype(np.int64) * units + seq)[learnt], minlength=units * units)
+                pair = np.flatnonzero(total)
+                yield pd.DataFrame({"pair": pair, "n": total[pair]})
 
     found = blocks.select("hashes", "shapes", "tokens", "lengths", "held").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(units * units)
@@ -193,64 +238,182 @@ def unit_of(hashes: np.ndarray, shapes: np.ndarray, top: np.ndarray) -> np.ndarr
     return np.where(top[at] == hashes, at, other).astype(np.int32) if len(top) else other
 
 
-def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES) -> DataFrame:
+def class_fits(between: np.ndarray) -> np.ndarray:
+    """(2 * classes, classes): what a left neighbour of each class, then a right one, adds to the fit of a word to each class."""
+    soft = between + ADD_CLASS
+    return np.vstack([np.log(soft / soft.sum(0)[None, :]), np.log(soft / soft.sum(1)[:, None]).T]).astype(np.float32)
+
+
+def neighbours(blocks: DataFrame, top: np.ndarray, of: np.ndarray, classes: int) -> DataFrame:
+    """(h, place, cls, near) of each word of each block. place: block and number there. For core words near holds the training
+    count, and cls is their class less 128. For others, near holds the classes of the neighbours of each training token, a byte
+    each (left ones, right ones raised by classes), and cls is the class of their shape."""
+    names = ["h", "place", "cls", "near"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                hashes, shapes = np.frombuffer(r["hashes"], np.uint64), _unpack(r["shapes"], "u1")
+                unit = unit_of(hashes, shapes, top)
+                cls, core = of[unit].astype(np.int16), unit < len(top)
+                seen = []
+                for texts, flat, lengths in _runs(r["tokens"], r["lengths"]):
+                    before, after = _around(cls[flat], lengths, cls[0])
+                    learnt = np.repeat(~np.array(r["held"][texts], bool), lengths) & ~core[flat]
+                    seen.append((flat[learnt], np.stack([before[learnt], after[learnt] + classes], 1).astype(np.uint8)))
+                word, pairs = (np.concatenate(x) for x in zip(*seen, strict=True))
+                pairs = pairs[np.argsort(word, kind="stable")]
+                sizes = np.where(core, 4, np.bincount(word, minlength=len(hashes)))
+                # Counts of core words take the room of four pairs.
+                table = np.empty((int(sizes.sum()), 2), np.uint8)
+                table[np.repeat(~core, sizes)] = pairs
+                table[np.repeat(core, sizes)] = _unpack(r["counts"], "<u4")[core].astype("<i8").view(np.uint8).reshape(-1, 2)
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * 2
+                data, said = table.ravel(), np.where(core, cls - 128, cls).astype(np.int8)
+                for k in range(0, len(hashes), 50_000):
+                    stop = min(k + 50_000, len(hashes))
+                    offsets = (ends[k : stop + 1] - ends[k]).astype(np.int32)
+                    near = pa.Array.from_buffers(pa.binary(), stop - k, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[ends[k] : ends[stop]].tobytes())])
+                    place = (np.int64(r["block"]) << PLACE_BITS) + np.arange(k, stop, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[k:stop].view(np.int64)), pa.array(place), pa.array(said[k:stop]), near], names)
+
+    return blocks.select("block", "held", "lengths", "tokens", "hashes", "shapes", "counts").mapInArrow(run, "h long, place long, cls byte, near binary")
+
+
+def _around(cls: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class before and after each token; an end stands before every text, and after its own end."""
+    before, after = np.empty_like(cls), np.empty_like(cls)
+    before[1:], after[:-1] = cls[:-1], cls[1:]
+    stop = np.cumsum(lengths)
+    before[stop - lengths], after[stop - 1] = end, end
+    return before, after
+
+
+def assigned(rows: DataFrame, fits: np.ndarray, least: int = LEAST) -> DataFrame:
+    """(place, said) of each word of each block: said holds its training count over all blocks, whether this is the one row of
+    the word that counts for it, and its class (see `_said`)."""
+    wide = len(fits)
+
+    def whole(t: pa.Table) -> pa.RecordBatch:
+        h, place, cls = (t.column(k).to_numpy() for k in range(3))
+        near = t.column(3).combine_chunks()
+        fresh = np.r_[True, h[1:] != h[:-1]]
+        group = np.cumsum(fresh) - 1
+        ends = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1].astype(np.int64)
+        codes = np.frombuffer(near.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        size, core = np.diff(ends), cls < 0
+        own = np.repeat(core, size)
+        n = size // 2
+        n[core] = codes[own].view("<i8")
+        total = np.zeros(group[-1] + 1, np.int64)
+        np.add.at(total, group, n)
+        best = np.where(core, cls.astype(np.int16) + 128, cls)[fresh]
+        open_ = (total >= least) & ~core[fresh]
+        number, owner, codes = np.cumsum(open_) - 1, np.repeat(group, size)[~own], codes[~own]
+        keep = open_[owner]
+        slot, codes, chosen = number[owner[keep]], codes[keep], np.flatnonzero(open_)
+        for k in range(0, len(chosen), 20_000):
+            stop = min(k + 20_000, len(chosen))
+            a, b = np.searchsorted(slot, (k, stop))
+            table = np.bincount((slot[a:b] - k) * wide + codes[a:b], minlength=(stop - k) * wide).reshape(-1, wide).astype(np.float32)
+            best[chosen[k:stop]] = np.argmax(table @ fits, 1)
+        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[group] << 8 | fresh << 7 | best[group])], ["place", "said"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= 100_000:
+                t = pa.Table.from_batches(held)
+                h = t.column(0).to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))
+                if cut:
+                    yield whole(t.slice(0, cut))
+                held, size = t.slice(cut).combine_chunks().to_batches(), 0
+        if held:
+            yield whole(pa.Table.from_batches(held))
+
+    return rows.repartition("h").sortWithinPartitions("h", "place").mapInArrow(run, "place long, said long")
+
+
+def _said(said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, whether the row counts for the word, class."""
+    return said >> 8, (said >> 7 & 1).astype(bool), (said & 127).astype(np.uint8)
+
+
+def classed(blocks: DataFrame, words: DataFrame, classes: int) -> DataFrame:
+    """Blocks with their words' counts and classes in place of hashes, and what their training texts add to the model."""
+
+    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for b in block.itertuples(index=False):
+            at = found["place"].to_numpy() & ((1 << PLACE_BITS) - 1)
+            n, cls = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint8)
+            n[at], one, cls[at] = _said(found["said"].to_numpy())
+            types = np.bincount(cls[at][one & (n[at] > 0)], minlength=classes)
+            moves = np.zeros(classes * classes, np.int64)
+            for texts, flat, lengths in _runs(b.tokens, b.lengths):
+                before, _ = _around(cls[flat], lengths, cls[0])
+                learnt = np.repeat(~np.array(b.held[texts], bool), lengths)
+                moves += np.bincount(before[learnt].astype(np.int64) * classes + cls[flat][learnt], minlength=classes * classes)
+            out.append({"ids": b.ids, "held": b.held, "lengths": b.lengths, "tokens": b.tokens, "n": _pack(n), "cls": _pack(cls), "types": types.tolist(), "moves": moves.tolist()})
+        return pd.DataFrame(out, columns=["ids", "held", "lengths", "tokens", "n", "cls", "types", "moves"])
+
+    schema = "ids array<long>, held array<boolean>, lengths array<binary>, tokens array<binary>, n binary, cls binary, types array<long>, moves array<long>"
+    whole = blocks.select("block", "ids", "held", "lengths", "tokens").groupBy("block")
+    return whole.cogroup(words.groupBy(F.shiftright("place", PLACE_BITS).alias("block"))).applyInPandas(run, schema)
+
+
+def _added(rows: DataFrame, column: str, size: int) -> np.ndarray:
+    """Sums of an array column by position; `size` rows reach the driver."""
+    out = np.zeros(size, np.int64)
+    for r in rows.select(F.posexplode(column).alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r.k] = r.n
+    return out
+
+
+def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, least: int = LEAST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text).
 
     Learns from rows whose fold is not HELD. Null texts count as empty: their one token is the end. Repeated rows count as
-    often as they stand there. Without training texts, score is base_score.
+    often as they stand there; null ids stay null and are learnt from. Without training texts, score is base_score.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id")) == HELD).alias("held_out"))
     blocks = materialize(packed(rows))
-    known = materialize(word_counts(blocks))
-    types = known.where("first is not null and n > 0")
-    per_shape = {r["shape"]: (r["n"], r["types"]) for r in types.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
-    tokens, distinct = (sum(x[k] for x in per_shape.values()) for k in (0, 1))
-    best = types.orderBy(F.desc("n"), "first").limit(words).collect()
-    best.sort(key=lambda r: r["first"] & (2**64 - 1))
-    top = np.array([r["first"] & (2**64 - 1) for r in best], np.uint64)
+    top = core_words(blocks, words)
     pairs = bigrams(blocks, top)
     of = exchange(pairs, classes)
-    member = np.zeros((len(pairs), classes))
-    member[np.arange(len(pairs)), of] = 1
-    between = member.T @ pairs @ member
-    move = np.log10((between + ADD_CLASS) / (between.sum(1, keepdims=True) + ADD_CLASS * classes))
-    in_unit, in_class = pairs.sum(0), (pairs.sum(0) @ member)[of]
-    emit = np.log10((in_unit + ADD_WORD) / (in_class + ADD_WORD * np.bincount(of, minlength=classes)[of]))
-    kinds = np.zeros(SHAPES)
-    for s, (_, t) in per_shape.items():
-        kinds[s] = t
-    for r in best:
-        kinds[r["shape"]] -= 1
-    held = docs.sparkSession.sparkContext.broadcast((top, of, move, emit, in_unit, kinds, tokens, distinct))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def run(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        top, of, move, emit, in_unit, kinds, tokens, distinct = held.value
-        out = []
-        for b in block.itertuples(index=False):
-            hashes, shapes = np.frombuffer(b.hashes, np.uint64), _unpack(b.shapes, "u1")
-            n = np.zeros(len(hashes))
-            n[counts["at"].to_numpy()] = counts["n"].to_numpy()
-            base = np.log10((n + 1) / (tokens + distinct + 1))
-            unit = unit_of(hashes, shapes, top)
-            alone = unit < len(top)
-            of_shape = in_unit[unit]
-            inside = np.where(alone, 0.0, np.log10((n + ADD_WORD) / (of_shape + ADD_WORD * (np.where(alone, 0, kinds[shapes]) + 1))))
-            own = emit[unit] + inside
-            cls = of[unit]
-            flat, lengths = _unpack(b.tokens, "<u4"), _unpack(b.lengths, "<i4")
-            start = np.cumsum(lengths) - lengths
-            before = np.empty(len(flat), np.int64)
-            before[1:] = cls[flat[:-1]]
-            before[start] = cls[0]
-            each = base[flat]
-            if tokens:
-                p = MIX * 10 ** (move[before, cls[flat]] + own[flat]) + (1 - MIX) * 10**each
-                mixed = np.add.reduceat(np.log10(p), start)
-            else:
-                mixed = np.add.reduceat(each, start)
-            out.append(pd.DataFrame({"doc_id": pd.array(list(b.ids), "Int64"), "held_out": list(b.held), "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((n > 0)[flat].astype(np.int64), start), "train_tokens": tokens, "base_score": np.add.reduceat(each, start), "score": mixed}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-
-    whole = blocks.select("block", "ids", "held", "lengths", "tokens", "hashes", "shapes").groupBy("block")
-    return whole.cogroup(known.select("block", "at", "n").groupBy("block")).applyInPandas(run, schema)
+    member = np.eye(classes)[of]
+    fits = class_fits(member.T @ pairs @ member)
+    with batch_rows(spark, 20_000):
+        known = materialize(classed(blocks, assigned(neighbours(blocks, top, of, classes), fits, least), classes))
+    discard(blocks)
+    types, moves = _added(known, "types", classes), _added(known, "moves", classes * classes).reshape(classes, classes)
+    tokens, distinct = int(moves.sum()), int(types.sum())
+    move = np.log10((moves + ADD_CLASS) / (moves.sum(1, keepdims=True) + ADD_CLASS * classes))
+    inside, schema = moves.sum(0), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch.itertuples(index=False):
+                n, cls = _unpack(b.n, "<i8"), _unpack(b.cls, "u1")
+                base = (n + 1) / (tokens + distinct + 1)
+                all_, kinds = inside[cls], types[cls]
+                emit = np.log10(np.where(all_ > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * base) / np.maximum(all_, 1), base))
+                base = np.log10(base)
+                for texts, part, sizes in _runs(b.tokens, b.lengths):
+                    at, own, each = np.cumsum(sizes) - sizes, cls[part], base[part]
+                    before, _ = _around(own, sizes, cls[0])
+                    mixed = np.log10(MIX * 10 ** (move[before, own] + emit[part]) + (1 - MIX) * 10**each) if tokens else each
+                    yield pd.DataFrame(
+                        {
+                            "doc_id": pd.array(list(b.ids[texts]), "Int64"), "held_out": list(b.held[texts]), "n_tokens": sizes.astype(np.int64),
+                            "n_known": np.add.reduceat((n[part] > 0).astype(np.int64), at), "train_tokens": tokens, "base_score": np.add.reduceat(each, at), "score": np.add.reduceat(mixed, at),
+                        }
+                    )
+
+    return known.select("ids", "held", "lengths", "tokens", "n", "cls").mapInPandas(run, schema)
