@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import ipaddress
+import operator
 import re
+import socket
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,18 +38,31 @@ def is_global_ip4(number: Column) -> Column:
     return ~inside
 
 
+#: IPv6 global unicast, and the ranges in it that are not routed on the internet.
+GLOBAL6 = "2000::/3"
+SPECIAL6 = ("2001::/23", "2001:db8::/32", "2002::/16")
+#: Ranges in the first of those that are routed after all.
+ROUTED6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+
+
+def _ranges(*nets: str) -> list[tuple[int, int]]:
+    return [(int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, nets)]
+
+
 @F.pandas_udf(BOOLEAN)
 def is_global_ip6(ips: pd.Series) -> pd.Series:
-    """Global unicast that is no multicast and holds no IPv4 address."""
+    """Inside the global range, and in none of its special ranges but the routed parts of these. Anything that is no address
+    is not global."""
 
-    def one(ip: str | None) -> bool:
+    def number(ip: str | None) -> int:
         try:
-            x = ipaddress.IPv6Address(ip or "")
-        except ValueError:
-            return False
-        return x.is_global and not x.is_multicast and x.ipv4_mapped is None and x.packed[0] >> 5 == 1
+            return int.from_bytes(socket.inet_pton(socket.AF_INET6, ip or ""))
+        except (OSError, ValueError):
+            return 0
 
-    return ips.map(one).astype(bool)
+    known = ips.map(number)
+    within = lambda nets: functools.reduce(operator.or_, (known.map(lambda x, a=a, b=b: a <= x <= b) for a, b in _ranges(*nets)))
+    return (within([GLOBAL6]) & (~within(SPECIAL6) | within(ROUTED6))).astype(bool)
 
 
 def is_routable_ip4(ip: Column, port: Column) -> Column:

@@ -59,11 +59,11 @@ def _one_decimal(x: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Steps of 1024; whole bytes, else one decimal."""
+    """Steps of 1024; whole bytes, else one decimal. Null is zero."""
     x = F.coalesce(n.cast("double"), F.lit(0.0))
     scaled = [F.when(x < 1024.0 ** (k + 1), F.concat(_one_decimal(x / 1024.0**k).cast("decimal(38,1)").cast("string"), F.lit(f" {u}"))) for k, u in enumerate(BYTE_UNITS[:-1]) if k]
     last = F.concat(_one_decimal(x / 1024.0**6).cast("decimal(38,1)").cast("string"), F.lit(" EiB"))
-    return F.coalesce(F.when(x < 1024, F.concat(n.cast("string"), F.lit(" B"))), *scaled, last)
+    return F.coalesce(F.when(x < 1024, F.concat(F.round(x).cast("long").cast("string"), F.lit(" B"))), *scaled, last)
 
 
 def format_count(n: Column) -> Column:
@@ -74,12 +74,12 @@ def format_count(n: Column) -> Column:
         value = _one_decimal(x / 1000.0**k).cast("decimal(38,1)")
         shown = F.concat(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit(u))
         out.append(F.when((F.abs(value) < 1000) | F.lit(k == len(COUNT_UNITS) - 1), shown))
-    return F.when(F.abs(x) < 1000, F.round(x).cast("long").cast("string")).otherwise(F.coalesce(*out))
+    return F.when(F.abs(F.round(x)) < 1000, F.round(x).cast("long").cast("string")).otherwise(F.coalesce(*out))
 
 
 def format_full(n: Column) -> Column:
-    """Thousands apart by spaces."""
-    return F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))
+    """Thousands apart by spaces. Null is zero."""
+    return F.replace(F.format_number(F.coalesce(n, F.lit(0)), 0), F.lit(","), F.lit(" "))
 
 
 def full_if_different(n: Column) -> Column:

@@ -1,12 +1,13 @@
 """Text functions (H1-H11, H15): terms, deletion variants, one-edit test, search texts.
 
-Latin text is folded by built-in functions; `terms_exact` covers all of Unicode in an Arrow batch function.
+Latin text is folded by built-in functions, other text by an Arrow batch function; both give the same terms.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Iterable
+from itertools import filterfalse, groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,15 +19,51 @@ from tallybook.functions.types import strings
 MIN_TERM, MAX_TERM, MIN_TYPO, MAX_ALTERNATIVES, MAX_TERMS, SEARCH_FILES, LISTED_FILES = 3, 32, 4, 20, 16, 20, 200
 MAX_QUERY = 200
 
-#: Latin letters that decompose into a plain letter and marks, from the Unicode data.
-_MARKED = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, range(0xC0, 0x250)) if c.islower() and len(unicodedata.normalize("NFKD", c)) > 1 and unicodedata.normalize("NFKD", c)[0].isascii()}
-_WORD = re.compile(r"[^\W_]+")
+def _folded(c: str) -> str:
+    """A character as it is searched: compatibility form without marks, case folded."""
+    return "".join(filterfalse(unicodedata.combining, unicodedata.normalize("NFKD", c))).casefold()
 
 
 def split_terms(text: str) -> list[str]:
-    """H1 in plain Python: compatibility decomposition, marks dropped, case folded, runs of letters and digits."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return _WORD.findall(plain.casefold())
+    """H1 in plain Python, for any script: the folded text cut at everything that is no letter or digit."""
+    return ["".join(run) for kept, run in groupby(_folded(text), str.isalnum) if kept]
+
+
+def _plain_fold(c: str) -> str:
+    """What the built-in path makes of a character."""
+    return c.lower().translate(_TABLE).replace("ß", "ss")
+
+
+def _kind(c: str) -> str:
+    return "w" if unicodedata.category(c)[0] in "LN" else " "
+
+
+def _class(codes: Iterable[int]) -> str:
+    """A pattern's character class of code points, as runs."""
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+#: Latin letters that fold to one plain letter, from the Unicode data.
+_MARKED = {c: _folded(c) for c in map(chr, range(0xC0, 0x250)) if c.islower() and len(_folded(c)) == 1 and _folded(c).isascii() and _folded(c) != c}
+_TABLE = str.maketrans(_MARKED)
+
+
+def _same(c: str) -> bool:
+    """Whether both paths read a character alike: both as the same letters and digits, or both as a gap."""
+    exact, plain = _folded(c), _plain_fold(c)
+    if not any(x.isalnum() for x in exact):
+        return exact != "" and not any(_kind(x) == "w" for x in plain)
+    return exact == plain and all(x.isalnum() and _kind(x) == "w" for x in plain)
+
+
+#: Characters that only the exact path reads rightly: those of other scripts, marks, ligatures, wide forms.
+ODD = _class([*(k for k in range(0x250) if not _same(chr(k))), *(k for k in range(0x250, 0x10000) if not (0xD800 <= k < 0xE000) and (_kind(chr(k)) == "w" or not _same(chr(k)))), *range(0x10000, 0x10FFFF + 1)])
 
 
 @F.pandas_udf(strings())
@@ -35,10 +72,15 @@ def terms_exact(texts: pd.Series) -> pd.Series:
     return texts.map(split_terms, na_action="ignore")
 
 
-def terms(text: Column) -> Column:
-    """H1 for Latin text, built-in functions only; null texts give null."""
+def terms(text: Column | str) -> Column:
+    """H1: by built-in functions, and texts with characters that these read otherwise by the exact function, so that an index
+    and a query always agree; null texts give null."""
+    text = F.col(text) if isinstance(text, str) else text
     folded = F.translate(F.lower(text), "".join(_MARKED), "".join(_MARKED.values()))
-    return F.regexp_extract_all(F.replace(folded, F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    plain = F.regexp_extract_all(F.replace(folded, F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    odd = (F.octet_length(text) > F.char_length(text)) & beyond.rlike(ODD)
+    return F.coalesce(terms_exact(F.when(odd, text)), F.when(~odd, plain))
 
 
 def query_terms(query: str) -> list[str]:
