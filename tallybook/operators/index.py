@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import text
+from tallybook.session import shared_dir
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -29,7 +31,31 @@ def typo_index(terms: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str) -> None:
-    """Postings sorted by term within files, so that a term's predicate skips row groups; typo index by variant."""
+    """Postings sorted by term within files, so that a term's predicate skips row groups; typo index by variant, for terms
+    that may be typos. The mark is written last: an index without it isn't read."""
     posted = postings(docs)
     posted.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    typo_index(vocabulary(posted)).repartitionByRange("variant").sortWithinPartitions("variant").write.mode("overwrite").parquet(f"{path}/typos")
+    words = vocabulary(docs.sparkSession.read.parquet(f"{path}/postings"))
+    typo_index(words).repartitionByRange("variant").sortWithinPartitions("variant").write.mode("overwrite").parquet(f"{path}/typos")
+    docs.sparkSession.range(1).write.mode("overwrite").parquet(f"{path}/done")
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(postings, typos) of a finished index, or None."""
+    try:
+        spark.read.parquet(f"{path}/done")
+    except AnalysisException:
+        return None
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/typos")
+
+
+def stored(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, typos) of documents, from the shared folder; built when there is no index of that name yet. The name must change
+    with the documents (see tables.fingerprint)."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/index-{name}"
+    found = read(spark, path)
+    if found is None:
+        write(docs, path)
+        found = read(spark, path)
+    return found

@@ -24,8 +24,23 @@ def counted(spark: SparkSession, d: str) -> DataFrame:
     return tables.with_counts(docs(spark, d), catalog.counters(obs(spark, d)))
 
 
+def ranked(spark: SparkSession, d: str, sort: str | None = None) -> DataFrame:
+    """What ranking needs of the documents; names are cut from texts only where they are the sort."""
+    more = [sort] if sort in ("name", "size", "file_count") else []
+    return tables.with_counts(docs(spark, d).select("doc_id", "info_hash", *more), catalog.counters(obs(spark, d)))
+
+
+def stored_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, typos) as they are stored, built if these documents have none yet."""
+    return index.stored(docs(spark, d), tables.fingerprint(tables.table(spark, d, "documents")))
+
+
 def posted(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(docs(spark, d))
+    return stored_index(spark, d)[0]
+
+
+def typos(spark: SparkSession, d: str) -> DataFrame:
+    return stored_index(spark, d)[1]
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +58,8 @@ OBS = """obs AS (SELECT event_id AS seq, user_id AS key, CASE WHEN event_type =
   epoch(ts) AS moment, CASE WHEN event_type = 'purchase' THEN json_extract_string(props, '$.k')::BIGINT END AS peer FROM events)"""
 COUNTS = """counts AS (SELECT key, count(*) AS seen_count, count(*) FILTER (source = 'announce_peer') AS announce_count, arg_min(moment, seq) AS first_seen, max(moment) AS last_seen FROM obs GROUP BY key)"""
 DOCS = f"""docs AS (SELECT doc_id, sha1(doc_id::VARCHAR) AS info_hash, {LINES}[1] AS name, {LINES}[2:] AS paths, n_chars AS size, greatest(1, len({LINES}) - 1)::BIGINT AS file_count FROM documents)"""
-CAT = """cat AS (SELECT d.*, coalesce(c.seen_count, 0)::BIGINT AS seen_count, coalesce(c.announce_count, 0)::BIGINT AS announce_count, coalesce(c.first_seen, 0.0) AS first_seen, coalesce(c.last_seen, 0.0) AS last_seen
-  FROM docs d LEFT JOIN counts c ON c.key = d.doc_id % 150)"""
+CAT = """cat AS (SELECT d.* EXCLUDE (dealt), coalesce(c.seen_count, 0)::BIGINT AS seen_count, coalesce(c.announce_count, 0)::BIGINT AS announce_count, coalesce(c.first_seen, 0.0) AS first_seen, coalesce(c.last_seen, 0.0) AS last_seen
+  FROM (SELECT *, doc_id % (SELECT max(key) + 1 FROM counts) AS dealt FROM docs) d LEFT JOIN counts c ON c.key = d.dealt)"""
 POSTED = f"""posted AS (SELECT doc_id, unnest(list_distinct({TERMS.format("name")})) AS term, true AS in_name FROM docs
   UNION ALL SELECT doc_id, unnest(list_distinct({TERMS.format("array_to_string(paths[1:20], chr(10))")})), false FROM docs)"""
 VOCABULARY = "vocabulary AS (SELECT DISTINCT term FROM posted WHERE length(term) BETWEEN 3 AND 32)"
@@ -71,6 +86,6 @@ def sql(body: str, *views: str) -> str:
     for v in views:
         need(v)
     body = body.strip()
-    more = body.removeprefix("WITH ") if body.startswith("WITH ") else None
+    start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), "")
     head = ",\n".join(_PARTS[v] for v in order)
-    return f"WITH {head},\n{more}" if more else f"WITH {head}\n{body}" if order else body
+    return f"{start}{head},\n{body.removeprefix(start)}" if start else f"WITH {head}\n{body}" if order else body

@@ -39,8 +39,22 @@ def documents(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_counts(docs: DataFrame, counts: DataFrame, keys: int = 150) -> DataFrame:
-    """Documents with the counters of the key they fall to; none gives zeros. counts has a row per key, so it is small beside docs."""
+def counter_keys(counts: DataFrame) -> DataFrame:
+    """One row: how many keys the documents are dealt to, which is one more than the largest."""
+    return counts.agg((F.max("key") + 1).alias("_keys"))
+
+
+def with_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Documents with the counters of the key they fall to (their number modulo the number of keys); none gives zeros. counts has a
+    row per key, so it is small beside docs."""
     zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
-    joined = docs.join(counts, F.pmod(F.col("doc_id"), F.lit(keys)) == F.col("key"), "left")
+    dealt = docs.crossJoin(F.broadcast(counter_keys(counts)))
+    joined = dealt.join(counts, F.pmod(F.col("doc_id"), F.col("_keys")) == F.col("key"), "left")
     return joined.select(*docs.columns, zero("seen_count", 0), zero("announce_count", 0), zero("first_seen", 0.0), zero("last_seen", 0.0))
+
+
+def fingerprint(rows: DataFrame) -> str:
+    """A name for the files a table is read from: it changes when one of them does."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, mark = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    return f"{n}-{int(mark or 0) % 2**64:016x}"
