@@ -1,4 +1,4 @@
-"""The catalog over recorded sightings."""
+"""The catalog over recorded sightings."""
 
 from __future__ import annotations
 
@@ -76,6 +76,22 @@ def state_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("fetch_state").agg(F.count("*").alias("entries"))
 
 
+def global_counters(entries: DataFrame, obs: DataFrame, evictions: DataFrame | None = None) -> DataFrame:
+    """One row: hashes seen and discovered (an entry that came back after its eviction counts again), observations, evictions,
+    entries by state, those done by the store alone, bytes of the metadata held. The states add up to the hashes seen."""
+    state = lambda s: F.count(F.when(F.col("fetch_state") == s, 1)).alias(f"fetch_{s}")
+    own = F.col("fetch_state") == "done"
+    row = entries.agg(
+        F.count("*").alias("hashes_seen"), *[state(s) for s in ("pending", "in_progress", "done", "failed")],
+        F.count(F.when(own & F.col("known_from_store"), 1)).alias("known_done"), F.coalesce(F.sum(F.when(own & ~F.col("known_from_store"), F.col("metadata_size"))), F.lit(0)).cast("long").alias("metadata_bytes"),
+    )
+    row = row.crossJoin(obs.agg(F.count("*").alias("observations")))
+    if evictions is None:
+        return row.withColumns({"evicted": F.lit(0).cast("long"), "hashes_discovered": F.col("hashes_seen")})
+    # Every entry that is there was created once more than it was evicted; one that is gone, as often.
+    return row.crossJoin(evictions.agg(F.count("*").alias("evicted"))).withColumn("hashes_discovered", F.col("hashes_seen") + F.col("evicted"))
+
+
 def fetch_candidates(entries: DataFrame, limit: int) -> DataFrame:
     """the fetchable entries seen most, latest first among equals."""
     return entries.where(F.col("queue") == "fetchable").orderBy(F.desc("seen_count"), F.desc("last_seen"), "key").limit(limit)

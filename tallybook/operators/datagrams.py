@@ -24,7 +24,7 @@ DECODED = struct(
 
 
 def read(payload: bytes) -> dict[str, Any] | None:
-    """The fields of one message, or None if it is malformed or no dictionary."""
+    """The fields of one message, or None if it is malformed or no dictionary. Numbers beyond a long count as missing."""
     try:
         m = bdecode(payload)
     except ValueError:
@@ -32,7 +32,7 @@ def read(payload: bytes) -> dict[str, Any] | None:
     if not isinstance(m, dict):
         return None
     raw = lambda v: v if isinstance(v, bytes) else None
-    whole = lambda v: v if isinstance(v, int) else None
+    whole = lambda v: v if isinstance(v, int) and -(2**63) <= v < 2**63 else None
     body = next((m[k] for k in (b"a", b"r") if isinstance(m.get(k), dict)), {})
     err = m.get(b"e")
     return {
@@ -48,7 +48,7 @@ def read(payload: bytes) -> dict[str, Any] | None:
         "samples": raw(body.get(b"samples")),
         "interval": whole(body.get(b"interval")),
         "peers": [v for v in body.get(b"values", []) if isinstance(v, bytes)] if isinstance(body.get(b"values"), list) else [],
-        "error": err[0] if isinstance(err, list) and err and isinstance(err[0], int) else None,
+        "error": whole(err[0]) if isinstance(err, list) and err else None,
     }
 
 
@@ -73,10 +73,12 @@ def answers(found: DataFrame) -> DataFrame:
 
 
 def nodes(found: DataFrame) -> DataFrame:
-    """A row for each IPv4 node of a reply."""
-    each = found.where(F.col("kind") == "r").select("seq", F.posexplode(codecs.cut(F.col("nodes"), codecs.NODE4)).alias("pos", "n"))
-    address = F.substring("n", 21, 6)
-    return each.select("seq", "pos", F.substring("n", 1, 20).alias("node_id"), codecs.compact_ip4(address).alias("ip"), codecs.compact_port(address).alias("port"))
+    """A row for each node of a reply; IPv4 nodes by built-in functions, IPv6 ones from their own field."""
+    replies = found.where(F.col("kind") == "r")
+    four = replies.select("seq", F.posexplode(codecs.cut(F.col("nodes"), codecs.NODE4)).alias("pos", "n"))
+    six = replies.select("seq", F.posexplode(codecs.cut(F.col("nodes6"), codecs.NODE6)).alias("pos", "n"))
+    row = lambda rows, ip, width: rows.select("seq", "pos", F.substring("n", 1, 20).alias("node_id"), ip(F.substring("n", 21, width)).alias("ip"), codecs.compact_port(F.substring("n", 21, width), width).alias("port"))
+    return row(four, codecs.compact_ip4, codecs.ADDRESS4).unionByName(row(six, codecs.compact_ip6, codecs.ADDRESS6))
 
 
 def samples(found: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Snapshots and histograms."""
+"""Snapshots and histograms."""
 
 from __future__ import annotations
 
@@ -29,3 +29,10 @@ def backlog(documents: DataFrame, counters: DataFrame, dropped: Column | int = 0
     """Rows that wait to be written."""
     waiting = documents.agg(F.count("*").alias("backlog_documents")).crossJoin(counters.agg(F.count("*").alias("backlog_counters")))
     return long_form(waiting.withColumn("backlog_dropped", F.lit(dropped)))
+
+
+def index_metrics(turns: DataFrame, store_totals: DataFrame) -> DataFrame:
+    """The totals of the store as the last refresh saw them, with the number of refreshes and of errors so far; turns is what
+    flushing.turns gives."""
+    seen = turns.agg(F.count(F.when(F.array_contains(F.split("done", ","), "totals"), 1)).alias("refreshes"), F.coalesce(F.max("errors"), F.lit(0)).alias("errors"))
+    return long_form(store_totals.crossJoin(seen))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: version of the layout; other versions are refused.
@@ -41,8 +41,17 @@ def merged(stored: DataFrame, changes: DataFrame, key: str = "info_hash") -> Dat
 
 
 def previous(stored: DataFrame, changes: DataFrame, key: str = "info_hash") -> DataFrame:
-    """The counters that each changed key had before; nulls for new ones."""
-    return changes.select(key).join(stored.select(key, "seen_count", "announce_count", "first_seen"), key, "left")
+    """The counters that each change (in order of seq, if it has one) finds before it: the stored ones and those that earlier
+    changes of the same batch have added; nulls for the first change of a new key."""
+    if "seq" not in changes.columns:
+        return changes.select(key).join(stored.select(key, "seen_count", "announce_count", "first_seen"), key, "left")
+    before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    had = {c: F.sum(c).over(before) for c in COUNTERS[:2]} | {"first_seen": F.min("first_seen").over(before)}
+    old = stored.select(key, *[F.col(c).alias(f"_{c}") for c in COUNTERS[:3]])
+    rows = changes.select(key, "seq", *[v.alias(c) for c, v in had.items()]).join(old, key, "left")
+    none = F.col("_seen_count").isNull() & F.col("seen_count").isNull()
+    total = lambda c: F.when(~none, F.coalesce(f"_{c}", F.lit(0)) + F.coalesce(c, F.lit(0))).alias(c)
+    return rows.select(key, "seq", total("seen_count"), total("announce_count"), F.least("first_seen", "_first_seen").alias("first_seen"))
 
 
 def updated(stored: DataFrame, deltas: DataFrame, key: str = "info_hash") -> DataFrame:
@@ -87,11 +96,31 @@ def lookup(docs: DataFrame, keys: DataFrame, key: str = "info_hash") -> DataFram
     return docs.join(keys.select(key).distinct(), key, "left_semi")
 
 
+FILE, PEER = "struct<path:string,length:bigint>", "struct<ip:string,port:int>"
+#: Fields of a detail record's metadata; those that a table lacks are null.
+METADATA = {"name": "string", "size": "bigint", "piece_length": "bigint", "file_count": "bigint", "files": f"array<{FILE}>", "is_private": "boolean", "fetched_at": "double", "source_peer": PEER}
+
+
+def _metadata(columns: list[str]) -> Column:
+    have = lambda c, kind: (F.col(c) if c in columns else F.lit(None)).cast(kind).alias(c)
+    return F.struct(*[have(c, kind) for c, kind in METADATA.items()])
+
+
 def stored_detail(docs: DataFrame) -> DataFrame:
-    """A stored document as a detail record."""
+    """A stored document as a detail record: done, without peers and without the peer it came from."""
+    own = _metadata([c for c in docs.columns if c != "source_peer"])
     return docs.select(
         "info_hash", *COUNTERS, F.lit("done").alias("fetch_state"), F.lit(0).alias("fetch_attempts"), F.lit("").alias("last_error"), F.lit(0).alias("lookups_started"),
-        F.struct("name", "size", "file_count").alias("metadata"),
+        F.array().cast(f"array<{PEER}>").alias("peers"), own.alias("metadata"),
+    )
+
+
+def live_detail(entries: DataFrame) -> DataFrame:
+    """Entries of the catalog (info_hash, counters, fetch_state, fetch_attempts, last_error, lookups_started, peers,
+    has_metadata and the metadata's fields) as detail records; metadata is null where none is held."""
+    return entries.select(
+        "info_hash", *COUNTERS, "fetch_state", "fetch_attempts", "last_error", "lookups_started", F.coalesce("peers", F.array().cast(f"array<{PEER}>")).alias("peers"),
+        F.when(F.col("has_metadata"), _metadata(entries.columns)).alias("metadata"),
     )
 
 
@@ -104,10 +133,17 @@ def detail(live: DataFrame, stored: DataFrame) -> DataFrame:
     return a.join(b, "info_hash", "full").select("info_hash", source.alias("source"), pick.alias("d")).select("info_hash", "source", "d.*")
 
 
+#: Parts of a table by the hash of its key; a batch rewrites those it touches.
+PARTS = 64
+
+
 class Store:
     """A table as numbered versions in a folder any Hadoop file system holds. A version is there when its write has finished,
     so readers see the old one or the new one; a failed write leaves nothing that is read. A version's name holds the last
-    batch in it, so a batch that is sent again changes nothing (exactly once)."""
+    batch in it, so a batch that is sent again changes nothing (exactly once).
+
+    Rows are dealt to PARTS by the hash of their key. A batch writes the parts it touches; a version is the latest writing of each
+    part, and a writing is deleted once `keep` later versions don't need it."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -136,35 +172,54 @@ class Store:
         done = [n for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted((int(n[1:].split("-")[0]), int(n.split("-b")[1]), f"{self.path}/{n}") for n in done)
 
-    def read(self) -> DataFrame | None:
-        """The current version; None before the first."""
-        found = self.versions()
-        return self.spark.read.parquet(found[-1][2]) if found else None
+    def _parts(self, upto: int | None = None) -> dict[int, str]:
+        """Where the latest writing of each part is, as of a version."""
+        found: dict[int, str] = {}
+        for n, _, folder in self.versions():
+            if upto is None or n <= upto:
+                for status in self._fs.listStatus(self._path(folder)):
+                    name = status.getPath().getName()
+                    if name.startswith("part="):
+                        found[int(name[5:])] = f"{folder}/{name}"
+        return found
+
+    def read(self, upto: int | None = None) -> DataFrame | None:
+        """The current version, or an older one that is still kept; None before the first."""
+        paths = sorted(self._parts(upto).values())
+        return self.spark.read.parquet(*paths) if paths else None
 
     def last_batch(self) -> int:
         found = self.versions()
         return found[-1][1] if found else -1
 
-    def write(self, rows: DataFrame, batch: int, keep: int = 2) -> None:
-        """A new version; older ones beyond `keep` go, as no reader starts on them any more."""
+    def write(self, rows: DataFrame, batch: int, keep: int = 2, key: str = "info_hash") -> None:
+        """A new version in which the parts that have rows here are these rows."""
         found = self.versions()
         n = found[-1][0] + 1 if found else 0
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{n:08d}-b{batch}")
-        for _, _, old in found[: max(0, len(found) + 1 - keep)]:
-            self._fs.delete(self._path(old), True)
-
-    def apply(self, changes: DataFrame, batch: int) -> bool:
-        """Merges one batch unless it has been; returns whether it did."""
+        part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+        rows.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v{n:08d}-b{batch}")
+        # What the oldest version kept does not read is of no use to later ones either.
+        needed = set(self._parts(n - keep + 1).values()) if n >= keep else None
+        for k, _, folder in found if needed is not None else ():
+            if k < n - keep + 1:
+                for status in self._fs.listStatus(self._path(folder)):
+                    name = status.getPath().getName()
+                    if name.startswith("part=") and f"{folder}/{name}" not in needed:
+                        self._fs.delete(status.getPath(), True)
+
+    def apply(self, changes: DataFrame, batch: int, key: str = "info_hash") -> bool:
+        """Merges one batch unless it has been; returns whether it did. Only parts with changes are read and written."""
         if batch <= self.last_batch():
             return False
-        now, change = self.read(), summed(changes)
-        self.write(change if now is None else merged(now, change.select(now.columns)), batch)
+        change, parts = summed(changes, key), self._parts()
+        touched = [r[0] for r in change.select(F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")).distinct().collect()]
+        paths = [parts[p] for p in touched if p in parts]
+        self.write(merged(self.spark.read.parquet(*paths), change, key) if paths else change, batch, key=key)
         return True
 
     def file_size(self) -> int:
         """Bytes of the current version; 0 before the first."""
-        found = self.versions()
-        return self._fs.getContentSummary(self._path(found[-1][2])).getLength() if found else 0
+        return sum(self._fs.getContentSummary(self._path(p)).getLength() for p in self._parts().values())
 
 
 def api_json(rows: DataFrame) -> str:

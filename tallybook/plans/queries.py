@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import address, codecs, display, text
-from tallybook.operators import catalog, datagrams, index, nearest, search, stateful, stats, store
-from tallybook.plans.views import TERMS, counted, docs, entries, obs, posted, sql
+from tallybook.operators import catalog, crawl, datagrams, fetching, flushing, index, nearest, search, stateful, stats, store
+from tallybook.plans.views import TERMS, counted, docs, entries, obs, posted, ranked, sql, stored_index, typos
+from tallybook.session import shared_dir
 from tallybook.sources.tables import epoch, table
 from tallybook.streaming import catalog as streams
 
@@ -36,7 +37,7 @@ COLUMNS = ", ".join(search.SEARCH_COLUMNS)
 @register("scan_rank_order", sql(f"SELECT {COLUMNS} FROM cat ORDER BY seen_count DESC, last_seen DESC, info_hash LIMIT 50", "cat"))
 def scan_rank_order(spark: SparkSession, d: str) -> DataFrame:
     """A5, F1, B1"""
-    return search.scan(counted(spark, d), 50)
+    return search.scan(ranked(spark, d), 50, docs=docs(spark, d))
 
 
 @register("point_lookup", sql("SELECT doc_id, info_hash, name, size, file_count FROM docs WHERE info_hash = sha1('7')", "docs"))
@@ -85,6 +86,36 @@ def search_text_contains(spark: SparkSession, d: str) -> DataFrame:
     return search.scan_memory(counted(spark, d), " ThTion ", 50)
 
 
+@register("index_build", sql("SELECT 'postings' AS part, count(*)::BIGINT AS entries, count(DISTINCT term)::BIGINT AS terms FROM posted UNION ALL SELECT 'typos', count(*), count(DISTINCT term) FROM typos", "typos"))
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The index written anew and counted as it was written; searches read a stored one"""
+    path = f"{shared_dir(spark)}/index-build"
+    index.write(docs(spark, d), path)
+    parts = dict(zip(("postings", "typos"), index.read(spark, path), strict=True))
+    count = lambda name: parts[name].agg(F.lit(name).alias("part"), F.count("*").alias("entries"), F.countDistinct("term").alias("terms"))
+    return count("postings").unionByName(count("typos"))
+
+
+_FOREIGN = {
+    "Việt Nam": ["viet", "nam"], "ｆｕｌｌ Ｗｉｄｔｈ１２": ["full", "width12"], "ﬁle ﬂow": ["file", "flow"], "Ελλάδα Ἀθῆναι": ["ελλαδα", "αθηναι"], "e\u0301te\u0301 nai\u0308ve": ["ete", "naive"],
+    "ΣΊΣΥΦΟΣ": ["σισυφοσ"], "Москва Ёлка": ["москва", "елка"], "½ x² ªº": ["1", "2", "x2", "ao"], "東京 한국": ["東京", "한국"], "STRASSE Straße": ["strasse", "strasse"], "a_b don’t": ["a", "b", "don", "t"],
+}
+
+
+def _foreign_sql() -> str:
+    import unicodedata
+
+    said = ", ".join(f"({k}, [{', '.join(repr(unicodedata.normalize('NFKD', t)) for t in found)}])" for k, found in enumerate(_FOREIGN.values()))
+    return f"WITH s(k, terms) AS (VALUES {said}) SELECT doc_id, unnest(terms) AS term FROM documents JOIN s ON k = doc_id % {len(_FOREIGN)}"
+
+
+@register("text_terms_any_script", _foreign_sql())
+def text_terms_any_script(spark: SparkSession, d: str) -> DataFrame:
+    """H1: wide, decomposed, ligature and non-Latin texts by turns, against terms that are written out"""
+    said = F.element_at(F.array(*[F.lit(t) for t in _FOREIGN]), (F.col("doc_id") % len(_FOREIGN) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.explode(text.terms(said)).alias("term"))
+
+
 @register("vocabulary", sql("SELECT term FROM vocabulary", "vocabulary"))
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """D7"""
@@ -100,8 +131,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 @register("deletion_variants", sql("SELECT length(variant)::INT AS length, count(*)::BIGINT AS entries, count(DISTINCT term)::BIGINT AS terms FROM typos GROUP BY 1", "typos"))
 def deletion_variants(spark: SparkSession, d: str) -> DataFrame:
     """H2, H4"""
-    typos = index.typo_index(index.vocabulary(posted(spark, d)))
-    return typos.groupBy(F.char_length("variant").alias("length")).agg(F.count("*").alias("entries"), F.countDistinct("term").alias("terms"))
+    return typos(spark, d).groupBy(F.char_length("variant").alias("length")).agg(F.count("*").alias("entries"), F.countDistinct("term").alias("terms"))
 
 
 _ASKED = f"""WITH asked AS (SELECT DISTINCT unnest({TERMS.format("text")}) AS asked FROM benchmark),
@@ -115,7 +145,7 @@ def one_edit_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Words of the benchmark and words of the documents one edit apart"""
     asked = table(spark, d, "benchmark").select(F.explode(text.terms(F.col("text"))).alias("asked")).distinct().where(text.may_be_typo(F.col("asked")))
     probe = asked.select("asked", F.explode(text.variants(F.col("asked"))).alias("variant"))
-    pairs = index.typo_index(index.vocabulary(posted(spark, d))).join(probe, "variant").where("asked <> term").select("asked", "term").distinct()
+    pairs = typos(spark, d).join(probe, "variant").where("asked <> term").select("asked", "term").distinct()
     return pairs.where(text.within_one_edit(F.col("asked"), F.col("term")))
 
 
@@ -144,16 +174,16 @@ SELECT {COLUMNS} FROM cat JOIN hits USING (doc_id) WHERE true {full} ORDER BY {"
     )
 
 
-def _search(name: str, query: str, limit: int, sort: str | None = None, desc: bool = True, typos: bool = True) -> None:
-    @register(name, _search_sql(query, limit, sort, desc, typos))
+def _search(name: str, query: str, limit: int, sort: str | None = None, desc: bool = True, wide: bool = True) -> None:
+    @register(name, _search_sql(query, limit, sort, desc, wide))
     def run(spark: SparkSession, d: str) -> DataFrame:
-        words = posted(spark, d)
-        return search.search(counted(spark, d), words, index.typo_index(index.vocabulary(words)), query, limit, sort, desc, typos)
+        words, near = stored_index(spark, d)
+        return search.search(ranked(spark, d, sort), words, near, query, limit, sort, desc, wide, docs(spark, d))
 
 
-_search("search_and", "this that", 30, typos=False)  # G1, C1
-_search("search_prefix_last", "with thtio", 30, typos=False)  # G4, B3
-_search("search_name_first", "the", 40, typos=False)  # C3, G3
+_search("search_and", "this that", 30, wide=False)  # G1, C1
+_search("search_prefix_last", "with thtio", 30, wide=False)  # G4, B3
+_search("search_name_first", "the", 40, wide=False)  # C3, G3
 _search("search_typo_two_tier", "onthsh tiher", 60)  # F8, G2, G5, C4
 _search("search_sorted_expanded", "onthsh thatt", 200, "size")  # replacement rule
 for _sort in address.SORTS:
@@ -173,7 +203,7 @@ QUALIFY row_number() OVER (PARTITION BY pos ORDER BY term) <= 20""",
 )
 def typo_alternatives(spark: SparkSession, d: str) -> DataFrame:
     """C2, A9, H5"""
-    return search.alternatives(spark, ["thatt", "tiher", "2024", "the"], index.typo_index(index.vocabulary(posted(spark, d))))
+    return search.alternatives(spark, ["thatt", "tiher", "2024", "the"], typos(spark, d))
 
 
 # Catalog
@@ -285,7 +315,7 @@ def backlog_bounded_queue(spark: SparkSession, d: str) -> DataFrame:
 
 @register("fifo_drain", sql("SELECT seq, key FROM obs WHERE source = 'sample' ORDER BY seq LIMIT 250", "obs"))
 def fifo_drain(spark: SparkSession, d: str) -> DataFrame:
-    """F7, I9"""
+    """F7"""
     return catalog.oldest(obs(spark, d).where("source = 'sample'"), "seq", 250).select("seq", "key")
 
 
@@ -349,7 +379,7 @@ def delta_upsert(spark: SparkSession, d: str) -> DataFrame:
 @register("previous_values", sql(f"WITH {_CHANGED} SELECT info_hash, cat.seen_count, cat.announce_count, cat.first_seen FROM c LEFT JOIN (SELECT * FROM cat WHERE doc_id % 3 <> 0) cat USING (info_hash)", "cat"))
 def previous_values(spark: SparkSession, d: str) -> DataFrame:
     """D9"""
-    return store.previous(_stored(spark, d), _changes(spark, d))
+    return store.previous(_stored(spark, d), _changes(spark, d).drop("seq"))
 
 
 @register(
@@ -375,7 +405,7 @@ def pending_deltas(spark: SparkSession, d: str) -> DataFrame:
     return store.pending(rows.withColumns(flushed | {"tracked": F.lit(True), "in_database": F.col("doc_id") % 4 != 1, "has_metadata": F.lit(False)}))
 
 
-@register("totals_catch_up", "SELECT count(*)::BIGINT AS documents, sum(o_totalprice) AS size, max(o_orderkey) AS last_id FROM orders")
+@register("totals_catch_up", "SELECT count(*)::BIGINT AS documents, sum(round(o_totalprice * 100)) / 100 AS size, max(o_orderkey) AS last_id FROM orders")
 def totals_catch_up(spark: SparkSession, d: str) -> DataFrame:
     """Totals of the first orders, then caught up with the rest; cents are summed so that the order of sums is no matter"""
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") * 100).alias("size"))
@@ -383,9 +413,6 @@ def totals_catch_up(spark: SparkSession, d: str) -> DataFrame:
     return store.caught_up(store.totals(half), rows).withColumn("size", F.col("size") / 100)
 
 
-ORACLES["totals_catch_up"] = "SELECT count(*)::BIGINT AS documents, sum(round(o_totalprice * 100)) / 100 AS size, max(o_orderkey) AS last_id FROM orders"
-
-
 @register("saturating_size", "SELECT l_orderkey, l_linenumber, least(l_orderkey::HUGEINT * 1000000000000000000, 9223372036854775807)::BIGINT AS size FROM lineitem")
 def saturating_size(spark: SparkSession, d: str) -> DataFrame:
     """E6"""
@@ -406,11 +433,10 @@ SELECT info_hash, CASE WHEN a.name IS NULL AND b.info_hash IS NOT NULL THEN 'sto
 def detail_coalesce(spark: SparkSession, d: str) -> DataFrame:
     """C12, B4, B5"""
     rows = counted(spark, d)
-    own = F.struct("name", "size", "file_count")
-    live = store.stored_detail(rows.where("doc_id % 2 = 0")).drop("metadata").withColumn("fetch_state", F.lit("pending"))
-    live = live.join(rows.select("info_hash", F.when(F.col("doc_id") % 4 == 0, own).alias("metadata")), "info_hash")
+    state = {"fetch_state": F.lit("pending"), "fetch_attempts": F.lit(0), "last_error": F.lit(""), "lookups_started": F.lit(0), "peers": F.lit(None).cast(f"array<{store.PEER}>"), "has_metadata": F.col("doc_id") % 4 == 0}
+    live = store.live_detail(rows.where("doc_id % 2 = 0").withColumns(state))
     stored = store.stored_detail(rows.where("doc_id % 3 = 0").withColumn("seen_count", F.col("seen_count") + 1))
-    return store.detail(live.select(stored.columns), stored).select("info_hash", "source", "seen_count", "fetch_state", "metadata.name")
+    return store.detail(live, stored).select("info_hash", "source", "seen_count", "fetch_state", "metadata.name")
 
 
 # Scalars
@@ -540,15 +566,12 @@ def neighbor_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", display.hex_text(joined).alias("id"))
 
 
-@register("transaction_ids", "SELECT event_id, '4c' || lpad(to_hex(event_id * 7919 % 16777216), 6, '0') AS id FROM events")
+@register("transaction_ids", "SELECT event_id, '4c' || lower(lpad(to_hex(event_id * 7919 % 16777216), 6, '0')) AS id FROM events")
 def transaction_ids(spark: SparkSession, d: str) -> DataFrame:
     """H41"""
     return table(spark, d, "events").select("event_id", display.hex_text(codecs.lookup_transaction_id(F.col("event_id") * 7919)).alias("id"))
 
 
-ORACLES["transaction_ids"] = "SELECT event_id, '4c' || lower(lpad(to_hex(event_id * 7919 % 16777216), 6, '0')) AS id FROM events"
-
-
 @register("piece_math", "SELECT doc_id, ceil(n_chars / 16384.0)::BIGINT AS pieces, least(16384, n_chars - (ceil(n_chars / 16384.0)::BIGINT - 1) * 16384)::BIGINT AS last FROM documents")
 def piece_math(spark: SparkSession, d: str) -> DataFrame:
     """H44"""
@@ -636,16 +659,30 @@ def json_files_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 # Folds and statistics
 
 
-@register("rate_limited_packets")
+_WINDOWS = """WITH RECURSIVE w AS (
+  SELECT key, min(moment) AS start FROM obs GROUP BY key
+  UNION ALL SELECT w.key, min(o.moment) FROM w JOIN obs o ON o.key = w.key AND o.moment - w.start >= 86400 GROUP BY w.key),
+p AS (SELECT o.key, o.seq, max(w.start) AS start, any_value(o.moment) AS moment FROM obs o JOIN w ON w.key = o.key AND w.start <= o.moment GROUP BY o.key, o.seq)
+SELECT key, seq, row_number() OVER (PARTITION BY key, start ORDER BY moment, seq) <= 2 AS allowed FROM p"""
+
+
+@register("rate_limited_packets", sql(_WINDOWS, "obs"))
 def rate_limited_packets(spark: SparkSession, d: str) -> DataFrame:
     """Two packets a day and key at most"""
     return stateful.rate_limited(obs(spark, d).select("key", "seq", "moment"), 2, 86400.0)
 
 
-@register("token_bucket")
+_BUCKET = """WITH RECURSIVE r AS (SELECT seq % 16 AS key, seq, floor(moment) AS moment, row_number() OVER (PARTITION BY seq % 16 ORDER BY floor(moment), seq) AS i FROM obs),
+b AS (
+  SELECT key, seq, i, moment, 2.0::DOUBLE AS had FROM r WHERE i = 1
+  UNION ALL SELECT r.key, r.seq, r.i, r.moment, least(2.0::DOUBLE, (CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END) + (r.moment - b.moment) * 2.0::DOUBLE) FROM b JOIN r ON r.key = b.key AND r.i = b.i + 1)
+SELECT key, seq, had >= 1 AS allowed FROM b"""
+
+
+@register("token_bucket", sql(_BUCKET, "obs"))
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     """I4"""
-    return stateful.token_bucket(obs(spark, d).select(F.lit(0).cast("long").alias("key"), "seq", F.floor("moment").cast("double").alias("moment")).withColumn("key", F.col("seq") % 16), 2.0)
+    return stateful.token_bucket(obs(spark, d).select((F.col("seq") % 16).alias("key"), "seq", F.floor("moment").cast("double").alias("moment")), 2.0)
 
 
 def _steps(rows: DataFrame) -> DataFrame:
@@ -654,15 +691,36 @@ def _steps(rows: DataFrame) -> DataFrame:
     return rows.select("key", "seq", kind.alias("kind"), "peer")
 
 
-@register("fetch_state_fold")
+_MACHINE = """WITH RECURSIVE s AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS i, peer, CASE WHEN source = 'announce_peer' THEN 'peer' WHEN source = 'get_peers' THEN 'lookup' WHEN seq % 10 = 0 THEN 'ok' WHEN seq % 2 = 0 THEN 'timeout' ELSE 'refused' END AS kind FROM obs),
+f AS (
+  SELECT DISTINCT key, 0::BIGINT AS i, []::BIGINT[] AS peers, []::BIGINT[] AS failed, 0 AS attempts, 0 AS lookups, 'pending' AS state, '' AS error FROM s
+  UNION ALL SELECT key, i, CASE WHEN bad THEN old[1:len(old) - 1] ELSE own END, CASE WHEN bad THEN list_append(failed, old[len(old)]) ELSE failed END, attempts + bad::INT, lookups + (kind = 'lookup')::INT,
+    CASE WHEN kind = 'ok' THEN 'done' WHEN dry THEN 'failed' WHEN bad AND (attempts >= 2 OR (len(old) = 1 AND lookups >= 2)) THEN 'failed' ELSE state END,
+    CASE WHEN kind = 'ok' THEN '' WHEN dry THEN 'no_peers' WHEN bad AND attempts < 2 AND len(old) = 1 AND lookups >= 2 THEN 'no_peers' WHEN bad THEN kind ELSE error END
+  FROM (SELECT *, kind = 'lookup' AND len(own) = 0 AND lookups >= 1 AND state = 'pending' AS dry, kind IN ('timeout', 'refused') AND state = 'pending' AND len(old) > 0 AS bad
+    FROM (SELECT s.key, s.i, s.kind, f.peers AS old, f.failed, f.attempts, f.lookups, f.state, f.error,
+      CASE WHEN s.peer IS NOT NULL AND s.kind IN ('peer', 'lookup') AND NOT list_contains(f.failed, s.peer) AND f.state <> 'done' THEN list_append(list_filter(f.peers, lambda x: x <> s.peer), s.peer)[-32:] ELSE f.peers END AS own
+      FROM f JOIN s ON s.key = f.key AND s.i = f.i + 1)))
+SELECT key, arg_max(state, i) AS state, arg_max(attempts, i) AS attempts, arg_max(lookups, i) AS lookups, len(arg_max(peers, i))::INT AS peers, arg_max(error, i) AS error FROM f GROUP BY key"""
+
+
+@register("fetch_state_fold", sql(_MACHINE, "obs"))
 def fetch_state_fold(spark: SparkSession, d: str) -> DataFrame:
-    """I2, I15"""
+    """I2"""
     return stateful.fetch_states(_steps(obs(spark, d)))
 
 
-@register("lookup_outcomes")
+_OUTCOMES = """WITH r AS (SELECT key, seq, seq / 1000 AS moment, peer FROM obs),
+w AS (SELECT key, peer, row_number() OVER o AS n, moment - first_value(moment) OVER o >= 6 AS late FROM r WINDOW o AS (PARTITION BY key ORDER BY moment, seq)),
+v AS (SELECT *, peer IS NOT NULL AND NOT late AND row_number() OVER (PARTITION BY key, peer, late ORDER BY n) = 1 AS fresh FROM w),
+c AS (SELECT key, n, late, count(*) FILTER (fresh) OVER o AS peers, count(*) FILTER (peer IS NOT NULL AND NOT late) OVER o AS replies FROM v WINDOW o AS (PARTITION BY key ORDER BY n)),
+e AS (SELECT *, CASE WHEN late THEN 'deadline' WHEN peers >= 8 THEN 'peers' WHEN replies >= 2 THEN 'replies' WHEN n >= 16 THEN 'queries' END AS why FROM c)
+SELECT DISTINCT ON (key) key, coalesce(why, 'exhausted') AS reason, n::INT AS queries, peers::INT AS peers FROM e ORDER BY key, why IS NULL, CASE WHEN why IS NULL THEN -n ELSE n END"""
+
+
+@register("lookup_outcomes", sql(_OUTCOMES, "obs"))
 def lookup_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """I3"""
+    """When recorded replies end a lookup"""
     return stateful.lookup_outcomes(obs(spark, d).select("key", "seq", (F.col("seq") / 1000).alias("moment"), "peer"))
 
 
@@ -704,16 +762,20 @@ def in_flight(spark: SparkSession, d: str) -> DataFrame:
     return stateful.high_water(stateful.in_flight(rows), "open").drop("delta")
 
 
-@register("transport_fallback", sql("SELECT key, arg_min(source, seq) FILTER (seq % 7 = 0) AS transport, coalesce(max('ok') FILTER (seq % 7 = 0), arg_min('closed' || (seq % 3), seq)) AS outcome FROM obs GROUP BY key", "obs"))
+@register(
+    "transport_fallback",
+    sql(
+        """WITH a AS (SELECT key, seq, source, CASE WHEN seq % 37 = 0 THEN 'ok' WHEN seq % 3 = 0 THEN 'closed_on_handshake' ELSE 'connect' END AS outcome FROM obs)
+SELECT key, arg_min(source, seq) FILTER (outcome = 'ok') AS transport, coalesce(max('ok') FILTER (outcome = 'ok'), arg_min(outcome, seq) FILTER (outcome <> 'connect'), arg_min(outcome, seq)) AS outcome FROM a GROUP BY key""",
+        "obs",
+    ),
+)
 def transport_fallback(spark: SparkSession, d: str) -> DataFrame:
     """I17"""
-    outcome = F.when(F.col("seq") % 7 == 0, "ok").otherwise(F.concat(F.lit("closed"), F.col("seq") % 3))
+    outcome = F.when(F.col("seq") % 37 == 0, "ok").when(F.col("seq") % 3 == 0, "closed_on_handshake").otherwise("connect")
     return stateful.first_success(obs(spark, d).select("key", "seq", F.col("source").alias("transport"), outcome.alias("outcome")))
 
 
-ORACLES["transport_fallback"] = sql("SELECT key, arg_min(source, seq) FILTER (seq % 7 = 0) AS transport, coalesce(max('ok') FILTER (seq % 7 = 0), arg_min(CASE WHEN seq % 7 = 0 THEN 'ok' ELSE 'closed' || (seq % 3) END, seq)) AS outcome FROM obs GROUP BY key", "obs")
-
-
 @register("piece_reassembly", "SELECT doc_id AS key, sha1(text) AS sha1 FROM documents")
 def piece_reassembly(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut into pieces, sent twice and out of order, joined again"""
@@ -740,6 +802,147 @@ def datagram_routes(spark: SparkSession, d: str) -> DataFrame:
     return datagrams.answers(found).groupBy("answer").agg(F.count("*").alias("packets"))
 
 
+# Flushing, crawling, checks
+
+
+@register(
+    "sighting_checks",
+    """WITH o AS (SELECT event_id AS seq, user_id, CASE WHEN event_id % 7 = 0 THEN 'length' WHEN event_type = 'error' THEN 'source' END AS reject FROM events)
+SELECT seq, reject, reject IS NULL AND seq = min(seq) FILTER (reject IS NULL) OVER (PARTITION BY user_id) AS created FROM o""",
+)
+def sighting_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Sightings with hashes that are cut off and sources that aren't known"""
+    key = F.unhex(F.sha1(F.col("user_id").cast("string")))
+    source = F.when(F.col("event_type") == "error", "rumour").otherwise("sample")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, F.substring(key, 1, 19)).otherwise(key).alias("info_hash"), source.alias("source"))
+    return crawl.checked_sightings(rows).select("seq", "reject", "created")
+
+
+@register(
+    "metadata_checks",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'total_size' WHEN l_linenumber = 4 THEN 'piece_length' WHEN l_linenumber = 5 THEN 'file_count' WHEN l_linenumber = 6 THEN 'files' END AS reject FROM lineitem""",
+)
+def metadata_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Records that are wrong in one field by turns"""
+    n = F.col("l_linenumber")
+    files = F.when(n == 6, F.array(F.lit("a"), F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("a")))
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(n == 3, -1).otherwise(F.col("l_quantity").cast("long")).alias("total_size"), F.when(n == 4, 0).otherwise(16384).alias("piece_length"), F.when(n == 5, 0).otherwise(2).alias("file_count"), files.alias("files")
+    )
+    return crawl.checked_metadata(rows).select("l_orderkey", "l_linenumber", "reject")
+
+
+@register(
+    "crawl_plan",
+    """WITH q AS (SELECT c_custkey % 3 AS family, c_custkey AS seq, '10.0.' || (c_custkey % 200) || '.1' AS ip FROM customer),
+b AS (SELECT '10.0.' || (s_suppkey % 200) || '.1' AS ip, max(s_suppkey * 10.0) AS until FROM supplier GROUP BY 1 HAVING max(s_suppkey * 10.0) > 300),
+t AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY seq) AS turn, CASE family WHEN 0 THEN 3 WHEN 1 THEN 2 END AS sockets FROM q)
+SELECT family, seq, CASE WHEN b.ip IS NULL THEN 'sample_infohashes' ELSE 'find_node' END AS query, (turn - 1) % sockets AS socket FROM t LEFT JOIN b USING (ip) WHERE turn <= sockets * 20""",
+)
+def crawl_plan(spark: SparkSession, d: str) -> DataFrame:
+    """One step over two families with sockets and one without"""
+    ip = lambda k: F.concat(F.lit("10.0."), F.col(k) % 200, F.lit(".1"))
+    queue = table(spark, d, "customer").select((F.col("c_custkey") % 3).cast("int").alias("family"), F.col("c_custkey").alias("seq"), F.sha1(F.col("c_custkey").cast("string")).alias("node_id"), ip("c_custkey").alias("ip"), F.lit(6881).alias("port"))
+    rest = table(spark, d, "supplier").select(ip("s_suppkey").alias("ip"), F.lit(6881).alias("port"), (F.col("s_suppkey") * 10.0).alias("until"))
+    return crawl.plan(queue, rest, {0: 3, 1: 2}, 300.0, 20).select(F.col("family").cast("long").alias("family"), "seq", "query", F.col("socket").cast("long").alias("socket"))
+
+
+@register(
+    "global_counters",
+    sql(
+        """SELECT count(*)::BIGINT AS hashes_seen, count(*) FILTER (fetch_state = 'pending')::BIGINT AS fetch_pending, count(*) FILTER (fetch_state = 'in_progress')::BIGINT AS fetch_in_progress, count(*) FILTER (fetch_state = 'done')::BIGINT AS fetch_done,
+count(*) FILTER (fetch_state = 'failed')::BIGINT AS fetch_failed, count(*) FILTER (fetch_state = 'done' AND key % 2 = 0)::BIGINT AS known_done, coalesce(sum(key) FILTER (fetch_state = 'done' AND key % 2 <> 0), 0)::BIGINT AS metadata_bytes,
+(SELECT count(*) FROM obs)::BIGINT AS observations, (SELECT count(*) FROM obs WHERE seq % 100 = 0)::BIGINT AS evicted, count(*) + (SELECT count(*) FROM obs WHERE seq % 100 = 0) AS hashes_discovered FROM entries""",
+        "entries",
+    ),
+)
+def global_counters(spark: SparkSession, d: str) -> DataFrame:
+    """D2, D14"""
+    rows = entries(spark, d).withColumns({"known_from_store": F.col("key") % 2 == 0, "metadata_size": F.col("key")})
+    return catalog.global_counters(rows, obs(spark, d), obs(spark, d).where("seq % 100 = 0"))
+
+
+@register("bounded_queue_dropped", sql("SELECT key, seq, row_number() OVER (ORDER BY seq DESC) > 700 AS dropped FROM obs", "obs"))
+def bounded_queue_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """I11"""
+    return flushing.bounded(obs(spark, d).select("key", "seq"), 700)
+
+
+@register(
+    "counter_drain",
+    sql("SELECT key, seq FROM (SELECT key, seq, key % 3 = 0 AS orphan, key % 2 = 0 AS in_store, peer IS NOT NULL AS gained FROM obs) WHERE gained AND (orphan OR in_store) ORDER BY orphan DESC, seq LIMIT 300", "obs"),
+)
+def counter_drain(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans first"""
+    rows = obs(spark, d).select("key", "seq", (F.col("key") % 3 == 0).alias("orphan"), (F.col("key") % 2 == 0).alias("in_store"), F.col("peer").isNotNull().cast("long").alias("seen_delta"), F.lit(0).alias("announce_delta"))
+    return flushing.drain_counters(rows, 300).select("key", "seq")
+
+
+@register(
+    "requeued_batch",
+    sql("SELECT key, min(seq) AS seq, arg_max(source, seq) AS source FROM obs WHERE seq % 3 <> 1 AND (seq % 3 = 0 AND seq < 3000 OR seq % 3 = 2 AND seq >= 3000) GROUP BY key", "obs"),
+)
+def requeued_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of early rows put back before later ones"""
+    rows = obs(spark, d).select("key", "seq", "source")
+    return flushing.requeued(rows.where("seq % 3 = 2 and seq >= 3000"), rows.where("seq % 3 = 0 and seq < 3000"))
+
+
+@register("missing_reset", sql("SELECT key, CASE WHEN key % 2 = 0 AND NOT (key % 3 = 0) AND fetch_state = 'done' THEN 'pending' ELSE fetch_state END AS fetch_state, CASE WHEN key % 2 = 0 THEN 0 ELSE seen_count END AS flushed_seen, key % 2 = 0 AND key % 3 = 0 AS document_queued FROM entries", "entries"))
+def missing_reset(spark: SparkSession, d: str) -> DataFrame:
+    """E5"""
+    rows = entries(spark, d).select("key", "fetch_state", F.col("seen_count").alias("flushed_seen"), F.col("announce_count").alias("flushed_announce"), (F.col("key") % 3 == 0).alias("has_metadata"), F.lit(True).alias("in_store"))
+    return flushing.reset_missing(rows, rows.where("key % 2 = 0")).select("key", "fetch_state", "flushed_seen", "document_queued")
+
+
+@register("last_flush", "WITH b AS (SELECT o_orderkey AS seq, CASE WHEN o_custkey % 2 = 0 THEN 'documents' ELSE 'counters' END AS kind, 0.25 AS seconds FROM orders WHERE o_orderstatus = 'P'), r AS (SELECT *, coalesce(sum(seconds) OVER (ORDER BY kind DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM b) SELECT kind, seq FROM r WHERE begins < 3")
+def last_flush(spark: SparkSession, d: str) -> DataFrame:
+    """I16"""
+    rows = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.when(F.col("o_custkey") % 2 == 0, "documents").otherwise("counters").alias("kind"), F.col("o_orderkey").alias("seq"), F.lit(0.25).alias("seconds"))
+    return flushing.last_flush(rows).select("kind", "seq")
+
+
+_TRIES = """WITH a AS (SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'connect' WHEN 2 THEN 'closed_on_handshake' ELSE 'timeout' END AS tcp, CASE WHEN user_id % 3 = 0 THEN 'ok' ELSE 'connect' END AS enc,
+  CASE user_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'connect_timeout' ELSE 'closed' END AS utp, user_id % 5 <> 0 AS free, user_id % 7 = 0 AS six FROM events),
+b AS (SELECT *, CASE WHEN tcp = 'closed_on_handshake' THEN enc ELSE tcp END AS first, 1.0 + CASE WHEN tcp = 'closed_on_handshake' THEN 0.5 ELSE 0 END AS spent FROM a),
+c AS (SELECT *, first = 'connect' AND free AND NOT six AS other, first = 'connect' AND free AND NOT six AND utp <> 'connect_timeout' AS told FROM b)
+SELECT seq, CASE WHEN told THEN 'utp' WHEN tcp = 'closed_on_handshake' THEN 'encrypted' ELSE 'tcp' END AS route, CASE WHEN told AND utp = 'ok' THEN 'ok' WHEN told THEN 'utp_' || utp ELSE first END AS outcome, (spent + CASE WHEN other THEN 2.0 ELSE 0 END)::DOUBLE AS seconds FROM c"""
+
+
+@register("transport_attempts", _TRIES)
+def transport_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """What each attempt comes to by the rules of fallback"""
+    k, u = F.col("event_id") % 4, F.col("user_id")
+    part = lambda outcome, seconds: F.struct(outcome.alias("outcome"), F.lit(seconds).alias("seconds"))
+    tcp = part(F.when(k == 0, "ok").when(k == 1, "connect").when(k == 2, "closed_on_handshake").otherwise("timeout"), 1.0)
+    enc, utp = part(F.when(u % 3 == 0, "ok").otherwise("connect"), 0.5), part(F.when(u % 4 == 0, "ok").when(u % 4 == 1, "connect_timeout").otherwise("closed"), 2.0)
+    ip = F.when(u % 7 == 0, "2a00::1").otherwise("8.8.8.8")
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), *[v.alias(n) for n, v in fetching.attempt(ip, tcp, enc, utp, u % 5 != 0).items()])
+
+
+@register(
+    "resend_times",
+    """WITH p AS (SELECT event_id, user_id AS acked FROM events), w AS (SELECT event_id, acked, unnest([1, 3, 7, 15, 31]) AS w FROM p)
+SELECT event_id, count(*) FILTER (w < 31 AND w < least(acked, 20))::INT AS again, count(*) FILTER (w < least(acked, 20)) > 4 AS given_up FROM w GROUP BY event_id""",
+)
+def resend_times(spark: SparkSession, d: str) -> DataFrame:
+    """I19"""
+    rows = table(spark, d, "events").select(F.lit(0).alias("key"), F.col("event_id").alias("number"), F.lit(0.0).alias("moment"), F.col("user_id").cast("double").alias("acked"))
+    return stateful.resends(rows, 20.0).select(F.col("number").alias("event_id"), F.size("again").alias("again"), "given_up")
+
+
+@register(
+    "compact_nodes6",
+    "SELECT s_suppkey AS seq, sha1(s_suppkey::VARCHAR) AS node_id, '2a00:1450::' || lower(to_hex(s_suppkey + 1)) AS ip, (s_suppkey % 65536)::INT AS port FROM supplier",
+)
+def compact_nodes6(spark: SparkSession, d: str) -> DataFrame:
+    """IPv6 nodes of replies"""
+    k = F.col("s_suppkey")
+    raw = F.concat(F.unhex(F.sha1(k.cast("string"))), F.unhex(F.lit("2a0014500000000000000000")), F.unhex(F.lpad(F.hex(k + 1), 8, "0")), F.unhex(F.lpad(F.hex(k % 65536), 4, "0")))
+    rows = table(spark, d, "supplier").select(k.alias("seq"), F.lit("r").alias("kind"), F.lit(None).cast("binary").alias("nodes"), raw.alias("nodes6"))
+    return datagrams.nodes(rows).select("seq", display.hex_text(F.col("node_id")).alias("node_id"), "ip", "port")
+
+
 # Streams: over all files at once, so they must agree with the batch forms.
 
 
@@ -755,13 +958,13 @@ def stream_dedup_nodes(spark: SparkSession, d: str) -> DataFrame:
     return streams.distinct_peers(spark, f"{d}/events.parquet")
 
 
-@register("stream_delta_upsert", sql("SELECT info_hash, name, size, file_count, c.seen_count, c.announce_count, c.first_seen, c.last_seen FROM docs JOIN counts c ON doc_id = key WHERE doc_id < 150", "docs", "counts"))
+@register("stream_delta_upsert", sql("SELECT info_hash, name, size, file_count, c.seen_count, c.announce_count, c.first_seen, c.last_seen FROM docs JOIN counts c ON doc_id = key", "docs", "counts"))
 def stream_delta_upsert(spark: SparkSession, d: str) -> DataFrame:
     """A16, A20, E1, E3"""
     return streams.upserted(spark, f"{d}/events.parquet", docs(spark, d))
 
 
-@register("stream_state_machine")
+@register("stream_state_machine", ORACLES["fetch_state_fold"])
 def stream_state_machine(spark: SparkSession, d: str) -> DataFrame:
     """I2"""
     return streams.fetch_states(spark, f"{d}/events.parquet", _steps)
