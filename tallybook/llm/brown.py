@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import batch_rows, discard, materialize, small_batches
 
 #: Bytes of text and distinct words that end a block; tokens handled at once.
-BLOCK, BLOCK_WORDS, RUN = 32_000_000, 400_000, 400_000
+BLOCK, BLOCK_WORDS, RUN = 32_000_000, 250_000, 400_000
 #: Words of a block are numbered in so many bits of a place.
 PLACE_BITS = 24
 #: Most frequent words, exchanged on the driver, and classes (at most 127).
@@ -403,7 +403,9 @@ def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, least: in
                 n, cls = _unpack(b.n, "<i8"), _unpack(b.cls, "u1")
                 base = (n + 1) / (tokens + distinct + 1)
                 all_, kinds = inside[cls], types[cls]
-                emit = np.log10(np.where(all_ > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * base) / np.maximum(all_, 1), base))
+                # What is taken off goes to the class's words by their unigram shares.
+                own = base * (tokens + distinct + 1) / np.maximum(all_ + kinds, 1)
+                emit = np.log10(np.where(all_ > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * own) / np.maximum(all_, 1), base))
                 base = np.log10(base)
                 for texts, part, sizes in _runs(b.tokens, b.lengths):
                     at, own, each = np.cumsum(sizes) - sizes, cls[part], base[part]
