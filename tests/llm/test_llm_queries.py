@@ -1,11 +1,11 @@
 """The registered queries on the smallest tables, and the pipeline against a brute-force version."""
 
+import brute
 import pytest
 from conftest import SMALL, same_rows
-from test_llm_operators import brute_components, brute_contained, brute_print, brute_spans, digests
+from test_llm_operators import brute_contained, digests
 
 import corpus_pipeline
-from tallybook.llm import toxicity
 from tallybook.llm.queries import ORACLES, QUERIES, vocabulary
 
 #: The smallest tables hold no secrets in what the pipeline keeps.
@@ -32,12 +32,16 @@ def test_query_columns_and_rows(spark, name):
 
 
 def test_pipeline_against_brute_force(spark):
+    """Every stage by a plain version: the classifier on dense tables, five-word similarity of all pairs that share a shingle,
+    shingle sets of items, all pairs of spans, the tokenizers library."""
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
-    model = toxicity.fit(docs, spark.read.parquet(f"{LARGER}/labels.parquet"))
-    rows = [r for r in docs.orderBy("doc_id").collect() if model.score(r.text) < 0.5]
-    label = brute_components([brute_print(r.text) for r in rows])
+    rows = docs.orderBy("doc_id").collect()
+    labels = dict(map(tuple, spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", "toxic").collect()))
+    scores = brute.toxic_scores([(r.doc_id, r.text) for r in rows], labels)
+    rows = [r for r in rows if scores[r.doc_id] < 0.5]
+    label = brute.near_copies([r.text for r in rows])
     rows = [r for k, r in enumerate(rows) if label[k] == k]
     items = [r.text for r in spark.read.parquet(f"{LARGER}/benchmark.parquet").collect()]
     hit = {w[0] for w in brute_contained([r.text for r in rows], items)}
@@ -47,18 +51,10 @@ def test_pipeline_against_brute_force(spark):
     assert found.keys() == {r.doc_id for r in rows} and len(rows) < docs.count()
     changed = 0
     for r in rows:
-        text, at, out = r.text, 0, ""
-        for start, _, end in brute_spans(text):
-            if start >= at:
-                out, at = out + text[at:start] + "[REDACTED]", end
-            else:
-                at = max(at, end)
-        out += text[at:]
-        got = found[r.doc_id]
-        if "http" not in text:  # weak parts are covered by the operator's own tests
-            assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == digests(t, out)
-            assert got.n_chars == (len(out) if out != text else r.n_chars)
-        changed += out != text
+        out, got = brute.redacted(r.text), found[r.doc_id]
+        assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == digests(t, out)
+        assert got.n_chars == (len(out) if out != r.text else r.n_chars)
+        changed += out != r.text
     assert changed
 
 
