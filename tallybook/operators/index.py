@@ -33,11 +33,16 @@ def typo_index(terms: DataFrame) -> DataFrame:
 def write(docs: DataFrame, path: str) -> None:
     """Postings sorted by term within files, so that a term's predicate skips row groups; typo index by variant, for terms
     that may be typos. The mark is written last: an index without it isn't read."""
-    posted = postings(docs)
-    posted.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    words = vocabulary(docs.sparkSession.read.parquet(f"{path}/postings"))
-    typo_index(words).repartitionByRange("variant").sortWithinPartitions("variant").write.mode("overwrite").parquet(f"{path}/typos")
-    docs.sparkSession.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    spark = docs.sparkSession
+    # A range is found by reading its input once more; texts are cut into terms only once.
+    postings(docs).write.mode("overwrite").parquet(f"{path}/raw")
+    raw = spark.read.parquet(f"{path}/raw")
+    raw.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    spark.createDataFrame([], raw.schema).write.mode("overwrite").parquet(f"{path}/raw")
+    words = vocabulary(spark.read.parquet(f"{path}/postings"))
+    words.write.mode("overwrite").parquet(f"{path}/words")
+    typo_index(spark.read.parquet(f"{path}/words")).repartitionByRange("variant").sortWithinPartitions("variant").write.mode("overwrite").parquet(f"{path}/typos")
+    spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
