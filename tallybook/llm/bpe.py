@@ -123,8 +123,9 @@ class Codec:
             import tiktoken
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
-            core = tiktoken.Encoding(path, pat_str="[^\\s\\S]", mergeable_ranks=table, special_tokens={})
-            self.pieces = Pieces(core._encode_single_piece)
+            # Words come split already, so each is one piece.
+            core = tiktoken.Encoding(path, pat_str="[\\s\\S]+", mergeable_ranks=table, special_tokens={})
+            self.pieces = Pieces(core.encode_ordinary)
 
     def encode(self, text: str) -> list[int]:
         """The library's own result. Latin texts without special tokens are split here and their words looked up."""
