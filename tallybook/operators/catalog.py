@@ -112,6 +112,11 @@ def bounded_queue(rows: DataFrame, seq: str, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(seq)).limit(limit)
 
 
+def is_evictable(state: Column, looking: Column) -> Column:
+    """Entries that nothing works on: neither a fetch nor a lookup."""
+    return ~((state == "in_progress") | looking)
+
+
 def eviction_victims(entries: DataFrame, capacity: int) -> DataFrame:
     """I8: one eviction pass over a snapshot (key, seq, seen_count, last_seen, has_metadata, peers, evictable).
 

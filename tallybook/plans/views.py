@@ -51,7 +51,7 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     found = catalog.counters(rows).join(more, "key").withColumns({"fetch_state": state, "checked": F.col("key") % 5 != 0, "lookups": F.col("key") % 3, "looking": F.col("key") % 7 == 0})
     found = found.withColumn("peers", F.when(F.col("key") % 11 < 6, F.col("peers")).otherwise(F.lit(0)))
     queue = catalog.queue_of(F.col("fetch_state"), F.col("checked"), F.col("peers"), F.col("looking"), F.col("lookups"))
-    return found.withColumns({"queue": queue, "next_lookup_time": catalog.next_time(F.col("first_seen"), F.col("lookups")), "has_metadata": F.col("fetch_state") == "done", "evictable": ~F.col("looking")})
+    return found.withColumns({"queue": queue, "next_lookup_time": catalog.next_time(F.col("first_seen"), F.col("lookups")), "has_metadata": F.col("fetch_state") == "done", "evictable": catalog.is_evictable(F.col("fetch_state"), F.col("looking"))})
 
 
 OBS = """obs AS (SELECT event_id AS seq, user_id AS key, CASE WHEN event_type = 'purchase' THEN 'announce_peer' WHEN event_type IN ('view', 'click') THEN 'get_peers' ELSE 'sample' END AS source,

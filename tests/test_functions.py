@@ -184,6 +184,15 @@ def test_compact_records(spark):
     assert [bytes(x) for x in row.cut] == [b"12", b"34"] and row.none == []
 
 
+def test_identifiers(spark):
+    nodes = [(bytes(range(20)), "8.8.4.4", 6881), (bytes(20), "1.2.3.4", 1)]
+    raw = codecs.pack_nodes(nodes)
+    assert len(raw) == 2 * codecs.NODE4 and raw[:20] == nodes[0][0] and raw[46:] == bytes([1, 2, 3, 4, 0, 1])
+    rows = spark.range(50).select(codecs.random_ids(F.col("id")).alias("a"), codecs.random_ids(F.col("id"), 20, b"-TB0001-").alias("b"), codecs.random_ids(F.col("id"), 2).alias("c")).collect()
+    assert len({bytes(r.a) for r in rows}) == len({bytes(r.b) for r in rows}) == 50 and {(len(r.a), len(r.b), len(r.c)) for r in rows} == {(20, 20, 2)}
+    assert all(bytes(r.b).startswith(b"-TB0001-") for r in rows)
+
+
 def test_compact_peers(spark):
     four, six = codecs.pack_address("8.8.4.4", 1), codecs.pack_address("2a00:1450::1", 2)
     row = spark.createDataFrame([([four, six, b"short", None],)], "v array<binary>").select(codecs.peers_of(F.col("v")).alias("four"), codecs.peers_of(F.col("v"), codecs.ADDRESS6).alias("six")).first()
