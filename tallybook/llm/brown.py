@@ -8,13 +8,15 @@ the whole corpus. So the clustered vocabulary grows with the corpus. Rarer and u
 
 Counts cover every word of every training text. Texts are first packed into blocks: token numbers of a block-wide vocabulary,
 and that vocabulary as 64-bit hashes with training counts. Hashes, not texts, are then shuffled: once to add up the counts and
-neighbours of a word over all blocks (a word has one row a block, however often it stands there), once to bring sum and class
-back to the block. A block's texts are kept and read in runs, so memory follows the run and the block's vocabulary.
+neighbours of a word over all blocks (a word counts once a block, however often it stands there), once to bring sum and class
+back to the block. Words travel in packets, those of a block that fall into one bucket of hashes; there are as many buckets as it
+takes to keep one small. A block's texts are kept and read in runs, so memory follows the run and the block's vocabulary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
@@ -25,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import batch_rows, discard, materialize, small_batches
+from tallybook.llm.common import discard, materialize, small_batches
 
 #: Bytes of text and distinct words that end a block; tokens handled at once.
 BLOCK, BLOCK_WORDS, RUN = 32_000_000, 250_000, 400_000
-#: Words of a block are numbered in so many bits of a place.
-PLACE_BITS = 24
+#: Words of all blocks that a bucket holds, about.
+BUCKET_WORDS = 150_000
 #: Most frequent words, exchanged on the driver, and classes (at most 127).
 WORDS, CLASSES = 512, 48
 SHAPES = 64
@@ -94,7 +96,8 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
                 close()
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
             shapes = np.fromiter(map(shape, numbers), np.uint8, len(numbers))
-            row = {"block": (part << 16) + made, "ids": [ids], "held": [held], "lengths": [sizes], "tokens": [runs], "hashes": [hashes.tobytes()], "shapes": [_pack(shapes)], "counts": [_pack(counts)]}
+            order = np.argsort(hashes).astype(np.uint32)
+            row = {"block": (part << 16) + made, "ids": [ids], "held": [held], "lengths": [sizes], "tokens": [runs], "hashes": [hashes.tobytes()], "shapes": [_pack(shapes)], "counts": [_pack(counts)], "order": [_pack(order)]}
             made += 1
             numbers, counts, ids, held, runs, sizes, size = _Numbers({END: 0}), np.zeros(1, np.uint32), [], [], [], [], 0
             return pd.DataFrame(row)
@@ -117,7 +120,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         if ids:
             yield block()
 
-    schema = "block long, ids array<long>, held array<boolean>, lengths array<binary>, tokens array<binary>, hashes binary, shapes binary, counts binary"
+    schema = "block long, ids array<long>, held array<boolean>, lengths array<binary>, tokens array<binary>, hashes binary, shapes binary, counts binary, order binary"
     return docs.select("doc_id", "text", "held_out").mapInPandas(run, schema)
 
 
@@ -244,40 +247,44 @@ def class_fits(between: np.ndarray) -> np.ndarray:
     return np.vstack([np.log(soft / soft.sum(0)[None, :]), np.log(soft / soft.sum(1)[:, None]).T]).astype(np.float32)
 
 
-def neighbours(blocks: DataFrame, top: np.ndarray, of: np.ndarray, classes: int) -> DataFrame:
-    """(h, place, cls, near) of each word of each block. place: block and number there. For core words near holds the training
-    count, and cls is their class less 128. For others, near holds the classes of the neighbours of each training token, a byte
-    each (left ones, right ones raised by classes), and cls is the class of their shape."""
-    names = ["h", "place", "cls", "near"]
+def neighbours(blocks: DataFrame, top: np.ndarray, of: np.ndarray, classes: int, bits: int) -> DataFrame:
+    """(bucket, block, words, packet): words of a block in order of their hashes, cut where a bucket of `bits` bits ends.
+
+    A packet holds the hashes, for core words their class less 128 and for others the class of their shape, the sizes of what
+    follows for each, and that: for core words the training count, for others the classes of the neighbours of each training
+    token, a byte each (left ones, right ones raised by classes).
+    """
+    names = ["bucket", "block", "words", "packet"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                hashes, shapes = np.frombuffer(r["hashes"], np.uint64), _unpack(r["shapes"], "u1")
-                unit = unit_of(hashes, shapes, top)
+                hashes, order = np.frombuffer(r["hashes"], np.uint64), _unpack(r["order"], "<u4")
+                unit = unit_of(hashes, _unpack(r["shapes"], "u1"), top)
                 cls, core = of[unit].astype(np.int16), unit < len(top)
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
                 seen = []
                 for texts, flat, lengths in _runs(r["tokens"], r["lengths"]):
                     before, after = _around(cls[flat], lengths, cls[0])
                     learnt = np.repeat(~np.array(r["held"][texts], bool), lengths) & ~core[flat]
-                    seen.append((flat[learnt], np.stack([before[learnt], after[learnt] + classes], 1).astype(np.uint8)))
+                    seen.append((rank[flat[learnt]], np.stack([before[learnt], after[learnt] + classes], 1).astype(np.uint8)))
                 word, pairs = (np.concatenate(x) for x in zip(*seen, strict=True))
                 pairs = pairs[np.argsort(word, kind="stable")]
-                sizes = np.where(core, 4, np.bincount(word, minlength=len(hashes)))
+                core, hashes = core[order], hashes[order]
+                sizes = np.where(core, 4, np.bincount(word, minlength=len(hashes))).astype(np.uint32)
                 # Counts of core words take the room of four pairs.
                 table = np.empty((int(sizes.sum()), 2), np.uint8)
                 table[np.repeat(~core, sizes)] = pairs
-                table[np.repeat(core, sizes)] = _unpack(r["counts"], "<u4")[core].astype("<i8").view(np.uint8).reshape(-1, 2)
-                ends = np.concatenate([[0], np.cumsum(sizes)]) * 2
-                data, said = table.ravel(), np.where(core, cls - 128, cls).astype(np.int8)
-                for k in range(0, len(hashes), 50_000):
-                    stop = min(k + 50_000, len(hashes))
-                    offsets = (ends[k : stop + 1] - ends[k]).astype(np.int32)
-                    near = pa.Array.from_buffers(pa.binary(), stop - k, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[ends[k] : ends[stop]].tobytes())])
-                    place = (np.int64(r["block"]) << PLACE_BITS) + np.arange(k, stop, dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[k:stop].view(np.int64)), pa.array(place), pa.array(said[k:stop]), near], names)
+                table[np.repeat(core, sizes)] = _unpack(r["counts"], "<u4")[order][core].astype("<i8").view(np.uint8).reshape(-1, 2)
+                ends, told = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.where(core, cls[order] - 128, cls[order]).astype(np.int8)
+                bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                packets = [zstandard.compress(hashes[i:j].tobytes() + told[i:j].tobytes() + sizes[i:j].tobytes() + table[ends[i] : ends[j]].tobytes(), 1) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                columns = [bucket[edge[:-1]], np.full(len(packets), r["block"], np.int64), np.diff(edge).astype(np.int32), packets]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), pa.array(packets, pa.binary())], names)
 
-    return blocks.select("block", "held", "lengths", "tokens", "hashes", "shapes", "counts").mapInArrow(run, "h long, place long, cls byte, near binary")
+    return blocks.select("block", "held", "lengths", "tokens", "hashes", "shapes", "counts", "order").mapInArrow(run, "bucket long, block long, words int, packet binary")
 
 
 def _around(cls: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,58 +297,69 @@ def _around(cls: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray,
 
 
 def assigned(rows: DataFrame, fits: np.ndarray, least: int = LEAST) -> DataFrame:
-    """(place, said) of each word of each block: said holds its training count over all blocks, whether this is the one row of
-    the word that counts for it, and its class (see `_said`)."""
+    """(block, bucket, packet) of each packet: in the same order, the training count of each word over all blocks, and its class,
+    raised by 128 in the one packet that counts for the word."""
     wide = len(fits)
 
-    def whole(t: pa.Table) -> pa.RecordBatch:
-        h, place, cls = (t.column(k).to_numpy() for k in range(3))
-        near = t.column(3).combine_chunks()
-        fresh = np.r_[True, h[1:] != h[:-1]]
-        group = np.cumsum(fresh) - 1
-        ends = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1].astype(np.int64)
-        codes = np.frombuffer(near.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        size, core = np.diff(ends), cls < 0
-        own = np.repeat(core, size)
-        n = size // 2
-        n[core] = codes[own].view("<i8")
-        total = np.zeros(group[-1] + 1, np.int64)
+    def whole(words: np.ndarray, packets: list[bytes]) -> list[bytes]:
+        """All packets of one bucket."""
+        parts = [], [], [], []
+        for n, p in zip(words.tolist(), packets, strict=True):
+            raw = zstandard.decompress(p)
+            for part, kind, at, count in zip(parts, ("<u8", "i1", "<u4", "u1"), (0, 8 * n, 9 * n, 13 * n), (n, n, n, -1), strict=True):
+                part.append(np.frombuffer(raw, kind, count, at))
+        h, cls, size, data = map(np.concatenate, parts)
+        core, size = cls < 0, size.astype(np.int64)
+        _, first, group = np.unique(h, return_index=True, return_inverse=True)
+        owner, own = np.repeat(group, size), np.repeat(core, size)
+        n = size.copy()
+        n[core] = data.reshape(-1, 2)[own].ravel().view("<i8")
+        total = np.zeros(len(first), np.int64)
         np.add.at(total, group, n)
-        best = np.where(core, cls.astype(np.int16) + 128, cls)[fresh]
-        open_ = (total >= least) & ~core[fresh]
-        number, owner, codes = np.cumsum(open_) - 1, np.repeat(group, size)[~own], codes[~own]
-        keep = open_[owner]
-        slot, codes, chosen = number[owner[keep]], codes[keep], np.flatnonzero(open_)
+        best = np.where(core, cls.astype(np.int16) + 128, cls)[first]
+        open_ = (total >= least) & ~core[first]
+        keep = ~own & open_[owner]
+        number, chosen = np.cumsum(open_) - 1, np.flatnonzero(open_)
+        slot, codes = number[owner[keep]], data.reshape(-1, 2)[keep]
+        order = np.argsort(slot, kind="stable")
+        slot, codes = slot[order], codes[order]
         for k in range(0, len(chosen), 20_000):
             stop = min(k + 20_000, len(chosen))
             a, b = np.searchsorted(slot, (k, stop))
-            table = np.bincount((slot[a:b] - k) * wide + codes[a:b], minlength=(stop - k) * wide).reshape(-1, wide).astype(np.float32)
+            at = (slot[a:b, None] - k) * wide + codes[a:b]
+            table = np.bincount(at.ravel(), minlength=(stop - k) * wide).reshape(-1, wide).astype(np.float32)
             best[chosen[k:stop]] = np.argmax(table @ fits, 1)
-        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[group] << 8 | fresh << 7 | best[group])], ["place", "said"])
+        told = best[group].astype(np.uint8)
+        told[first] += 128
+        sums, out, at = total[group], [], 0
+        for k in words.tolist():
+            out.append(zstandard.compress(sums[at : at + k].tobytes() + told[at : at + k].tobytes(), 1))
+            at += k
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+
+        def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            bucket, block, words = (t.column(k).to_numpy() for k in range(3))
+            packets = t.column(3).to_pylist()
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(block[i:j]), pa.array(bucket[i:j]), pa.array(whole(words[i:j], packets[i:j]), pa.binary())], ["block", "bucket", "packet"])
+
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                size += b.num_rows
-            if size >= 100_000:
                 t = pa.Table.from_batches(held)
-                h = t.column(0).to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))
+                first = t.column(0).to_numpy()
+                cut = int(np.searchsorted(first, first[-1]))
                 if cut:
-                    yield whole(t.slice(0, cut))
-                held, size = t.slice(cut).combine_chunks().to_batches(), 0
+                    yield from flush(t.slice(0, cut))
+                    held = t.slice(cut).combine_chunks().to_batches()
         if held:
-            yield whole(pa.Table.from_batches(held))
-
-    return rows.repartition("h").sortWithinPartitions("h", "place").mapInArrow(run, "place long, said long")
-
+            yield from flush(pa.Table.from_batches(held))
 
-def _said(said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count, whether the row counts for the word, class."""
-    return said >> 8, (said >> 7 & 1).astype(bool), (said & 127).astype(np.uint8)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket long, packet binary")
 
 
 def classed(blocks: DataFrame, words: DataFrame, classes: int) -> DataFrame:
@@ -349,11 +367,13 @@ def classed(blocks: DataFrame, words: DataFrame, classes: int) -> DataFrame:
 
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
+        raw = [zstandard.decompress(p) for p in found.sort_values("bucket")["packet"]]
+        counts, told = (np.concatenate([np.frombuffer(r, kind, len(r) // 9, at * (len(r) // 9)) for r in raw]) for kind, at in (("<i8", 0), ("u1", 8)))
         for b in block.itertuples(index=False):
-            at = found["place"].to_numpy() & ((1 << PLACE_BITS) - 1)
-            n, cls = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint8)
-            n[at], one, cls[at] = _said(found["said"].to_numpy())
-            types = np.bincount(cls[at][one & (n[at] > 0)], minlength=classes)
+            order = _unpack(b.order, "<u4")
+            n, cls, one = np.empty(len(order), np.int64), np.empty(len(order), np.uint8), told >= 128
+            n[order], cls[order] = counts, told & 127
+            types = np.bincount(told[one & (counts > 0)] & 127, minlength=classes)
             moves = np.zeros(classes * classes, np.int64)
             for texts, flat, lengths in _runs(b.tokens, b.lengths):
                 before, _ = _around(cls[flat], lengths, cls[0])
@@ -363,8 +383,8 @@ def classed(blocks: DataFrame, words: DataFrame, classes: int) -> DataFrame:
         return pd.DataFrame(out, columns=["ids", "held", "lengths", "tokens", "n", "cls", "types", "moves"])
 
     schema = "ids array<long>, held array<boolean>, lengths array<binary>, tokens array<binary>, n binary, cls binary, types array<long>, moves array<long>"
-    whole = blocks.select("block", "ids", "held", "lengths", "tokens").groupBy("block")
-    return whole.cogroup(words.groupBy(F.shiftright("place", PLACE_BITS).alias("block"))).applyInPandas(run, schema)
+    whole = blocks.select("block", "ids", "held", "lengths", "tokens", "order").groupBy("block")
+    return whole.cogroup(words.groupBy("block")).applyInPandas(run, schema)
 
 
 def _added(rows: DataFrame, column: str, size: int) -> np.ndarray:
@@ -389,8 +409,9 @@ def score(docs: DataFrame, words: int = WORDS, classes: int = CLASSES, least: in
     of = exchange(pairs, classes)
     member = np.eye(classes)[of]
     fits = class_fits(member.T @ pairs @ member)
-    with batch_rows(spark, 20_000):
-        known = materialize(classed(blocks, assigned(neighbours(blocks, top, of, classes), fits, least), classes))
+    words_ = blocks.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
+    bits = max(0, ceil(log2(max(words_, 1) / BUCKET_WORDS)))
+    known = materialize(classed(blocks, assigned(neighbours(blocks, top, of, classes, bits), fits, least), classes))
     discard(blocks)
     types, moves = _added(known, "types", classes), _added(known, "moves", classes * classes).reshape(classes, classes)
     tokens, distinct = int(moves.sum()), int(types.sum())
