@@ -7,6 +7,11 @@ the tables. Of codes that meet, those within a Hamming radius are tied; a table
 
 Vectors tied directly or over others come together once, and there every pair is reranked by the cosine of the original vectors
 in double precision. So each link is counted once, and no pair is ever written out.
+
+The tables miss some pairs: no key in common, a bucket that was split between them, more differing bits than the radius. An exact
+check follows for pairs that have no tie. Vectors lie in cells by signs in the learnt directions, which are orthonormal: a pair
+within a distance is within it in these directions too. So a vector is also compared in every cell that differs from its own only
+in signs whose values, squared and added, stay within the squared distance of the threshold. No link can be lost that way.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from math import acos, ceil, log, log2, pi, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
@@ -34,6 +40,10 @@ BUCKET = 4096
 PART = 2048
 #: Length of the mean of unit vectors up to which it is taken away.
 CENTRED = 0.2
+#: Numbers in the vectors that lie in a cell; a larger cell is compared as pairs of parts of that size, with four times as many guests.
+VALUES = 2_000_000
+#: Comparisons up to which a cell isn't split any further.
+SMALL = 250_000
 
 
 def key_bits(codes: int) -> int:
@@ -53,6 +63,17 @@ def radius(least: float) -> int:
     return ceil(BITS * p + 3 * sqrt(BITS * p * (1 - p)))
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; a power of two is taken out first, so that no square overflows or vanishes."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+
+
+def room(least: float) -> float:
+    """Squared distance of unit vectors with a cosine of `least`, and some more for what rounding may do."""
+    return 2 - 2 * least + 1e-9
+
+
 def bit_masks(count: int, bits: int, seed: int = 11) -> list[list[tuple[int, int]]]:
     """For each table its masks over a code's two words: of its key, then of ever longer ones, up to the whole code."""
     rng = np.random.default_rng(seed)
@@ -75,7 +96,7 @@ class Rotation:
     def __init__(self, dims: int, sample: np.ndarray | None = None, rounds: int = 40, seed: int = 3) -> None:
         self.mean, maps = np.zeros(dims), []
         if sample is not None:
-            unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+            unit = units(sample)
             mean = unit.mean(0)
             self.mean = mean if np.linalg.norm(mean) <= CENTRED else self.mean
             centred = unit - self.mean
@@ -89,14 +110,26 @@ class Rotation:
                     turn = (u @ v).T
                 maps.append(axes.T @ turn)
         missing = BITS - sum(m.shape[1] for m in maps)
+        #: Orthonormal directions, for cells.
+        self.axes = maps[0] if maps else np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, min(dims, BITS // 2))))[0]
         self.map = np.hstack([*maps, np.random.default_rng(seed + 7).normal(size=(dims, missing))])
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """Two unsigned words of each vector."""
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        bits = (unit - self.mean) @ self.map >= 0
+        bits = (units(vectors) - self.mean) @ self.map >= 0
         return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
+    def places(self, unit: np.ndarray) -> np.ndarray:
+        """Coordinates of unit vectors in the orthonormal directions."""
+        return (unit - self.mean) @ self.axes
+
+
+def rotation_of(learnt: dict[int, Rotation], dims: int) -> Rotation:
+    """The rotation of a dimension, a random one where none was learnt."""
+    if dims not in learnt:
+        learnt[dims] = Rotation(dims)
+    return learnt[dims]
+
 
 def bucket_ties(key: np.ndarray, one: np.ndarray, two: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, smaller row) of a spanning forest over rows with equal key, sorted by it, whose codes differ in at most `most` bits."""
@@ -120,7 +153,7 @@ def bucket_ties(key: np.ndarray, one: np.ndarray, two: np.ndarray, most: int) ->
 def group_links(key: np.ndarray, part: np.ndarray, cross: np.ndarray, vec: np.ndarray, times: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by key: rows with links, how many vectors these link to, and a linked smaller row. In a group of two parts
     (cross) only pairs across them count, as each part has a group of its own."""
-    vec = vec / np.sqrt(np.einsum("ij,ij->i", vec, vec))[:, None]
+    vec = units(vec)
     links, forest = np.zeros(len(key), np.int64), Forest(len(key))
 
     def fold(i: np.ndarray, j: np.ndarray) -> None:
@@ -149,6 +182,67 @@ def group_links(key: np.ndarray, part: np.ndarray, cross: np.ndarray, vec: np.nd
     return found, links[found], forest.label[found]
 
 
+def cells(place: np.ndarray, bits: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home): the cell of each row by its first signs, and the higher cells that hold rows within `most`, squared."""
+    row, cell, spent, home = np.arange(len(place)), np.zeros(len(place), np.int64), np.zeros(len(place)), np.ones(len(place), bool)
+    for b in range(bits):
+        value = place[row, b]
+        sign = value >= 0
+        # Of two cells the higher is where their rows meet, so the first sign that differs goes up.
+        also = (spent + value * value <= most) & (~home | ~sign)
+        cell = np.r_[2 * cell + sign, 2 * cell[also] + ~sign[also]]
+        spent, home = np.r_[spent, (spent + value * value)[also]], np.r_[home, np.zeros(also.sum(), bool)]
+        row = np.r_[row, row[also]]
+    return row, cell, home
+
+
+def cell_links(vec: np.ndarray, place: np.ndarray, home: np.ndarray, inner: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of a home row and a guest and, if inner, of two home rows, each pair once.
+
+    While it saves comparisons the cell is split by the sign that saves most. Home rows go to their side; those of the lower side
+    that are close enough are guests of the upper one. Guests go wherever they may meet a home row.
+    """
+    most = room(least)
+    todo = [(np.flatnonzero(home), np.flatnonzero(~home), np.zeros(len(home) - home.sum()), np.arange(place.shape[1]))]
+    while todo:
+        h, g, spent, bits = todo.pop()
+        work = len(h) * (len(h) / 2 * inner + len(g))
+        if work > SMALL and len(bits):
+            # Which sign is best may be judged by some of the rows.
+            a, b = -(-len(h) // 4096), -(-len(g) // 4096) or 1
+            high, guest = place[np.ix_(h[::a], bits)], place[np.ix_(g[::b], bits)]
+            over = (((high < 0) & (high * high <= most)).sum(0) * a) if inner else 0
+            upper = (high >= 0).sum(0) * a
+            lower = len(h[::a]) * a - upper
+            swap = spent[::b, None] + guest * guest <= most
+            cost = upper * (upper / 2 * inner + ((guest >= 0) | swap).sum(0) * b + over) + lower * (lower / 2 * inner + ((guest < 0) | swap).sum(0) * b)
+            best = int(cost.argmin())
+            if cost[best] < 0.8 * work:
+                value, away = place[h, bits[best]], place[g, bits[best]]
+                spend = spent + away * away
+                rest = np.delete(bits, best)
+                for up in (True, False):
+                    own = (away >= 0) == up
+                    stay = own | (spend <= most)
+                    guests, costs = g[stay], np.where(own, spent, spend)[stay]
+                    if up and inner:
+                        near = (value < 0) & (value * value <= most)
+                        guests, costs = np.r_[guests, h[near]], np.r_[costs, (value * value)[near]]
+                    todo.append((h[(value >= 0) == up], guests, costs, rest))
+                continue
+        ours, theirs = vec[h], vec[g]
+        for k in range(0, len(h), 512):
+            part = ours[k : k + 512]
+            if inner:
+                for m in range(k, len(h), 4096):
+                    i, j = np.nonzero(part @ ours[m : m + 4096].T >= least)
+                    after = j + m > i + k
+                    yield h[i[after] + k], h[j[after] + m]
+            for m in range(0, len(g), 4096):
+                i, j = np.nonzero(part @ theirs[m : m + 4096].T >= least)
+                yield h[i + k], g[j + m]
+
+
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
     """(id, n_links, component, kept) per row: links have equal labels and a cosine of at least `least`.
 
@@ -170,9 +264,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if not total:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
     with batch_rows(spark, 5000):
-        tied = materialize(ties(reps, least))
+        learnt = spark.sparkContext.broadcast(rotations(reps))
+        tied = materialize(ties(reps, least, learnt))
         sizes = materialize(tied.groupBy("tie").agg(F.count("*").alias("n")).where("n > 1"))
-        found = materialize(links(reps, tied, sizes, least, total))
+        found = materialize(links(reps, tied, sizes, least, total).unionByName(untied_links(reps, tied, least, learnt)))
     direct = found.groupBy("node").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = materialize(reps.select("node", "k1", "k2", "id", "n").join(direct, "node", "left").join(reach, "node", "left").withColumn("class", F.coalesce("component", "node")))
@@ -199,19 +294,15 @@ def rotations(reps: DataFrame) -> dict[int, Rotation]:
     return {d: Rotation(d, np.array(v, np.float64)) for d, v in by_dims.items()}
 
 
-def ties(reps: DataFrame, least: float) -> DataFrame:
+def ties(reps: DataFrame, least: float, learnt: Broadcast) -> DataFrame:
     """(node, tie): vectors that tables tie together, directly or over others, have the same tie."""
-    learnt = reps.sparkSession.sparkContext.broadcast(rotations(reps))
     most = radius(least)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             codes = np.zeros((len(b), 2), np.uint64)
             for dims, at in b.reset_index(drop=True).groupby("dims").indices.items():
-                rotation = learnt.value.get(dims)
-                if rotation is None:
-                    rotation = learnt.value[dims] = Rotation(int(dims))
-                codes[at] = rotation.codes(np.array(b["v"].iloc[at].tolist(), np.float64).reshape(len(at), -1))
+                codes[at] = rotation_of(learnt.value, int(dims)).codes(np.array(b["v"].iloc[at].tolist(), np.float64).reshape(len(at), -1))
             yield b[["node", "kind"]].assign(one=codes[:, 0].view(np.int64), two=codes[:, 1].view(np.int64))
 
     codes = materialize(reps.select("node", F.xxhash64("label", "dims").alias("kind"), "dims", "v").mapInPandas(coded, "node long, kind long, one long, two long"))
@@ -269,6 +360,74 @@ def links(reps: DataFrame, tied: DataFrame, sizes: DataFrame, least: float, tota
     return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "node long, links long, root long")
 
 
+def untied_links(reps: DataFrame, tied: DataFrame, least: float, learnt: Broadcast) -> DataFrame:
+    """(node, links, root) as of `links`, for the links between vectors that have no tie."""
+    rows = reps.withColumn("kind", F.xxhash64("label", "dims"))
+    kinds = rows.groupBy("kind").agg(F.count("*").alias("c"), F.first("dims").alias("d")).where(F.col("c") * F.col("d") > VALUES)
+    large = materialize(kinds.select("kind", F.ceil(F.log2(F.col("c") * F.col("d") / VALUES)).cast("int").alias("bits")))
+    rows = rows.join(tied, "node").join(F.broadcast(large), "kind", "left").select("kind", "node", "tie", "n", "dims", F.coalesce("bits", F.lit(0)).alias("bits"), "v")
+    most = room(least)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, bits = b.column("dims").to_numpy(), b.column("bits").to_numpy()
+            for d, n in {*zip(dims.tolist(), bits.tolist(), strict=True)}:
+                some = b.filter(pa.array((dims == d) & (bits == n)))
+                rotation = rotation_of(learnt.value, d)
+                row, cell, home = cells(rotation.places(units(matrix(some.column("v"), d))), min(n, rotation.axes.shape[1]), most)
+                for k in range(0, len(row), 5000):
+                    cut = slice(k, k + 5000)
+                    yield pa.RecordBatch.from_arrays([*some.take(pa.array(row[cut])).columns, pa.array(cell[cut]), pa.array(home[cut])], [*some.schema.names, "cell", "home"])
+
+    if large.limit(1).count():
+        number = rows.schema["v"].dataType.simpleString()
+        few = rows.where("bits = 0").select("*", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"))
+        many = rows.where("bits > 0").mapInArrow(placed, f"kind long, node long, tie long, n long, dims int, bits int, v {number}, cell long, home boolean")
+        sizes = many.groupBy("kind", "cell").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("all"), F.first("dims").alias("d"))
+        parts = F.ceil(F.col("h") * F.col("d") / VALUES).cast("int")
+        sizes = materialize(sizes.select("kind", "cell", parts.alias("hp"), F.ceil((F.col("all") - F.col("h")) * F.col("d") / (4 * VALUES)).cast("int").alias("gp")).where("hp > 1 or gp > 1"))
+        rows = few.unionByName(many).join(F.broadcast(sizes), ["kind", "cell"], "left")
+    else:
+        rows = rows.select("*", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), F.lit(1).alias("hp"), F.lit(1).alias("gp"))
+    rows = rows.withColumns({"hp": F.greatest(F.coalesce("hp", F.lit(1)), F.lit(1)), "gp": F.greatest(F.coalesce("gp", F.lit(1)), F.lit(1))})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("home"), F.col("hp")).otherwise(F.col("gp"))).cast("int"))
+    # Home part q meets: by source 0 itself and the first guests, then other guests, then each part before it.
+    met = F.expr("""if(home,
+        concat(transform(sequence(0, gp + own - 1), c -> struct(own as q, c as c, true as ours)),
+            if(own + 1 < hp, transform(sequence(own + 1, hp - 1), q -> struct(q as q, gp + own as c, false as ours)), array())),
+        transform(sequence(0, hp - 1), q -> struct(q as q, own as c, false as ours)))""")
+    rows = rows.withColumn("met", F.explode(met))
+    rows = rows.select(F.xxhash64("kind", "cell", "met.q", "met.c").alias("group"), "met.ours", (F.col("met.c") == 0).alias("inner"), "node", "tie", "n", "dims", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_tables(batches):
+            group, ours, inner, node, tie, n, dims = (c.to_numpy() for c in t.columns[:-1])
+            links, forest = np.zeros(len(group), np.int64), Forest(len(group))
+            edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if e - s < 2 or not ours[s:e].any():
+                    continue
+                unit = units(matrix(t.columns[-1].slice(s, e - s).combine_chunks(), int(dims[s])))
+                place = rotation_of(learnt.value, int(dims[s])).places(unit) if (e - s) ** 2 > SMALL else np.zeros((e - s, 0))
+                for i, j in cell_links(unit, place, ours[s:e], bool(inner[s]), least):
+                    i, j = i + s, j + s
+                    apart = tie[i] != tie[j]
+                    i, j = i[apart], j[apart]
+                    np.add.at(links, i, n[j])
+                    np.add.at(links, j, n[i])
+                    forest.fold(i, j)
+            found = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[found], links[found], node[forest.label[found]])], ["node", "links", "root"])
+
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(run, "node long, links long, root long")
+
+
+def matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
 def whole_tables(batches: Iterator[pa.RecordBatch], least: int = 10_000) -> Iterator[pa.Table]:
     """Rows sorted by the first column, cut only where it changes."""
     held: list[pa.RecordBatch] = []

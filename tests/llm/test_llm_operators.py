@@ -264,6 +264,56 @@ def test_large_buckets_are_compared_in_parts(spark, monkeypatch):
     assert found == brute_links(rows)
 
 
+def test_links_that_no_table_brings_together(spark):
+    rng = np.random.default_rng(8)
+    wide = lambda v: np.r_[v, np.zeros(128 - len(v))]
+    rows = [(k, wide(rng.normal(size=64)).tolist(), 1, "") for k in range(300)]
+    for k in range(20):
+        # Alike outside the directions that codes are learnt from, unlike within them.
+        turn, _ = np.linalg.qr(rng.normal(size=(64, 2)))
+        rows += [(len(rows) + m, (wide(0.13 * turn[:, m]) + np.eye(128)[70 + k]).tolist(), 1, "") for m in range(2)]
+    want = brute_links(rows)
+    assert sum(v[0] for v in want.values()) >= 40
+    found = {r.id: (r.n_links, r.component, r.kept) for r in itq.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert found == want
+
+
+@pytest.mark.parametrize("values", [64, 640, 6400])
+def test_cells_lose_no_link(spark, monkeypatch, values):
+    monkeypatch.setattr(itq, "VALUES", values)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 64))
+    rows = [(k, (base[rng.integers(60) if k % 3 else 0] + rng.normal(size=64) * rng.choice([0.1, 0.14, 0.2])).astype(np.float32).tolist(), k % 2, "") for k in range(400)]
+    # Of no tie at all, every link is the cells'.
+    monkeypatch.setattr(itq, "ties", lambda reps, least, learnt: reps.select("node", F.col("node").alias("tie")))
+    found = {r.id: (r.n_links, r.component, r.kept) for r in itq.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert found == brute_links(rows)
+
+
+def test_a_cell_is_split_without_loss(monkeypatch):
+    monkeypatch.setattr(itq, "SMALL", 4)
+    rng = np.random.default_rng(6)
+    unit = itq.units(np.repeat(rng.normal(size=(30, 24)), 10, axis=0) + rng.normal(size=(300, 24)) * 0.14)
+    place = itq.Rotation(24, unit).places(unit)
+    home = rng.random(300) < 0.7
+    for inner in (True, False):
+        pairs = [tuple(sorted(p)) for i, j in itq.cell_links(unit, place, home, inner, 0.98) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        want = {(i, j) for j in range(300) for i in range(j) if unit[i] @ unit[j] >= 0.98 and (home[i] != home[j] or inner and home[i])}
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want and want
+    row, cell, at_home = itq.cells(place, 6, itq.room(0.98))
+    own = dict(zip(row[at_home].tolist(), cell[at_home].tolist(), strict=True))
+    there = Counter(zip(row.tolist(), cell.tolist(), strict=True))
+    assert len(own) == 300 and max(there.values()) == 1
+    assert all(there[min(i, j, key=own.get), max(own[i], own[j])] for j in range(300) for i in range(j) if unit[i] @ unit[j] >= 0.98)
+
+
+def test_vectors_of_extreme_length(spark):
+    v = np.array([1.0, 2.0, 3.0])
+    rows = [(1, v.tolist(), 1, ""), (2, (v * 1e200).tolist(), 1, ""), (3, (v * 1e-200).tolist(), 1, ""), (4, [1e200, -2e200, 3e200], 1, "")]
+    found = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string")).collect()
+    assert sorted((r.id, r.n_links, r.component) for r in found) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 # 6: URLs
 
 
